@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celloom.llm import quality, sharding, urls, warc
+from celloom.llm import decontamination, html, packing, quality, sharding, spotsigs, urls, warc
 from celloom.session import scratch_path, stored, table
 
 
@@ -19,6 +19,33 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.rendezvous(F.col("doc_id"), [1.0] * 41).alias("grown_shard"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits = spotsigs.with_edits(table(spark, sf_dir, "documents")).withColumn("edited_found", spotsigs.signatures(F.col("edited")))
+    found, edited, following = F.col("found"), F.col("edited_found"), F.col("next_found")
+    return edits.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), spotsigs.as_text(found).alias("fingerprint"), spotsigs.as_text(edited).alias("edited_fingerprint"),
+        spotsigs.likeness(found, edited).alias("near_edited"), spotsigs.likeness(found, following).alias("near_next"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     scheme = folder.partition("://")[0] + "://" if "://" in folder else "file://"
@@ -41,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op8_warc, op9_urls, op10_quality)}
+    return {f.__name__: f for f in (op1_shard, op3_html, op4_decontaminate, op5_pack, op7_spotsigs, op8_warc, op9_urls, op10_quality)}
 
 
 _OP8 = """
@@ -68,5 +95,19 @@ SELECT u.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM
 """
 
 
+_SHINGLES = """
+  SELECT {key}, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE
+    list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM {table})
+"""
+
+_OP4 = f"""
+WITH d AS ({_SHINGLES.format(key="doc_id", table="documents")}), i AS ({_SHINGLES.format(key="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8::DOUBLE * n_item - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": _OP8, "op9_urls": _OP9}
+    return {"op4_decontaminate": _OP4, "op8_warc": _OP8, "op9_urls": _OP9}

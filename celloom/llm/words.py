@@ -40,12 +40,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_slices(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice of bytes, by differences of one running polynomial sum."""
+    """A 64-bit hash of each slice of bytes."""
+    return sliced(_BYTE[buffer], starts, ends)
+
+
+def sliced(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of 64-bit values, by differences of one running polynomial sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * up[: len(buffer)], out=total[1:])
+    up, down = _powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
