@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celloom.llm import decontamination, html, packing, quality, sharding, spotsigs, urls, warc
+from celloom.llm import decontamination, html, ngram_join, packing, quality, sharding, spotsigs, urls, warc
 from celloom.session import scratch_path, stored, table
 
 
@@ -19,6 +19,10 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.rendezvous(F.col("doc_id"), [1.0] * 41).alias("grown_shard"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -68,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op3_html, op4_decontaminate, op5_pack, op7_spotsigs, op8_warc, op9_urls, op10_quality)}
+    return {f.__name__: f for f in (op1_shard, op2_ngram_join, op3_html, op4_decontaminate, op5_pack, op7_spotsigs, op8_warc, op9_urls, op10_quality)}
 
 
 _OP8 = """
@@ -109,5 +113,17 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containme
 """
 
 
+_OP2 = f"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS doc_id, count(*) AS weight FROM documents GROUP BY text),
+s AS MATERIALIZED ({_SHINGLES.format(key="doc_id", table="t")}), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+g AS (SELECT a, min(root) AS class_id FROM r GROUP BY a), k AS (SELECT a, sum(weight)::BIGINT AS links FROM l JOIN t ON t.doc_id = b GROUP BY a)
+SELECT d.doc_id AS doc_id, t.doc_id AS copy_of, class_id, (coalesce(links, 0) + weight - 1)::BIGINT AS n_links
+FROM documents d JOIN t ON t.text = d.text JOIN g ON g.a = t.doc_id LEFT JOIN k ON k.a = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": _OP4, "op8_warc": _OP8, "op9_urls": _OP9}
+    return {"op2_ngram_join": _OP2, "op4_decontaminate": _OP4, "op8_warc": _OP8, "op9_urls": _OP9}
