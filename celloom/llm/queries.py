@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celloom.llm import decontamination, html, ngram_join, packing, quality, sharding, spotsigs, urls, warc
+from celloom.llm import decontamination, html, ngram_join, packing, pii, quality, sharding, spotsigs, urls, warc
 from celloom.session import scratch_path, stored, table
 
 
@@ -41,6 +41,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = spotsigs.with_edits(table(spark, sf_dir, "documents")).withColumn("edited_found", spotsigs.signatures(F.col("edited")))
     found, edited, following = F.col("found"), F.col("edited_found"), F.col("next_found")
@@ -72,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_ngram_join, op3_html, op4_decontaminate, op5_pack, op7_spotsigs, op8_warc, op9_urls, op10_quality)}
+    return {f.__name__: f for f in (op1_shard, op2_ngram_join, op3_html, op4_decontaminate, op5_pack, op6_pii, op7_spotsigs, op8_warc, op9_urls, op10_quality)}
 
 
 _OP8 = """
