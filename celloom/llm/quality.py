@@ -160,7 +160,11 @@ def train(scored: DataFrame, labels: DataFrame, key: str, label: str, rows: int
     Ids or labels that are null are left out. Several labels of one id count by their mean, a half as 1.
     """
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("__y"))
-    taken = scored.join(told, key).select(F.xxhash64(key, F.lit("fit")).alias("h"), key, "__x", "__y").orderBy("h", key, "__x").limit(rows).collect()
+    held = scored.join(told, key).withColumn("__h", F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)))
+    count = held.count()
+    if count > rows:  # so that tasks don't each send as many rows as are wanted in all
+        held = held.where(F.col("__h") < int((1 << 30) * min(1.0, 1.2 * rows / count + 0.01)))
+    taken = held.select("__h", key, "__x", "__y").orderBy("__h", key, "__x").limit(rows).collect()
     x = np.array([r["__x"] for r in taken]).reshape(len(taken), len(STATISTICS))
     return fit(x, np.array([r["__y"] for r in taken], float))
 
