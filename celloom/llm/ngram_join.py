@@ -39,7 +39,7 @@ _SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x
 def forest_keys(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """A row of TREES prefix keys of a depth for each text, and the numbers of distinct shingles (0: the keys mean nothing)."""
     keys, counts = np.zeros((len(texts), TREES), np.int64), np.zeros(len(texts), np.int64)
-    for a, b in in_chunks(texts, 500_000):
+    for a, b in in_chunks(texts, 300_000):
         hashes, at = shingle_sets(texts[a:b])
         full = np.flatnonzero(np.diff(at) > 0)
         if not len(full):

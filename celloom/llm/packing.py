@@ -18,7 +18,7 @@ WINDOW = 1024
 #: The id that ends a document.
 END = 0
 #: Documents and tokens of a shard of the index; a longer document is a shard of its own.
-SHARD_DOCS, SHARD_TOKENS = 4096, 3_000_000
+SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
 #: Terms of a seed that are looked up: those with the most BM25 weight.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75

@@ -12,7 +12,7 @@ import pandas as pd
 from celloom.llm.words import in_chunks, mix
 
 #: Distinct pieces that a worker keeps encoded.
-KEPT = 300_000
+KEPT = 150_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: The code points of the Unicode property White_Space.
@@ -52,7 +52,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as 16-bit numbers."""
         out: list[np.ndarray] = []
-        for a, b in in_chunks(texts, 1_000_000):
+        for a, b in in_chunks(texts, 400_000):
             out += self._encode(texts[a:b])
         return out
 

@@ -94,7 +94,7 @@ def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def in_chunks(texts: list[str], most: int = 2_000_000):
+def in_chunks(texts: list[str], most: int = 400_000):
     """Index ranges over texts of at most so many characters, or of one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
