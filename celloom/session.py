@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of a batch that a Python worker gets at once, so that its memory does not follow the length of the texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 #: Rows up to which a narrow table (a few numbers a row) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,10 +36,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application.
+    """Sends this package to the executors, once per application, and bounds the batches that Python workers get.
 
     Functions that run in Python workers are pickled by reference, so the workers must be able to import the package.
     """
+    for name, value in ARROW.items():
+        spark.conf.set(name, value)
     sc = spark.sparkContext
     if getattr(sc, "_celloom_shipped", False):
         return
