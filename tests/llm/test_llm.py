@@ -117,7 +117,7 @@ def test_pii():
     field = pii.train(pii.labelled_table(300), rounds=40)
     texts = ["mail a.b@c.org, call (555) 123-4567 or +1 (555) 123-4567", "version 2.0 of 2019", "", "1.2.3.999 and 10.0.0.1", "4111 1111 1111 1111", "a@b.co_x@c.de"]
     base, every = pii._both(texts, field)
-    assert pii.joined(base[0]) == "email:5:14,phone:41:58" and "phone:21:35" in pii.joined(every[0])
+    assert pii.joined(base[0]) == "email:5:14,phone:39:56" and "phone:21:35" in pii.joined(every[0])
     assert pii.joined(every[1]) == pii.joined(every[2]) == "" and pii.joined(base[3]) == "ip:14:22"
     assert pii.joined(base[4]) == "card:0:19" and pii.joined(base[5]) == "email:0:6,email:6:13"
     held = pii.labelled_table(100, seed=99)
