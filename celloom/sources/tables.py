@@ -17,7 +17,7 @@ def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines of a small text file with their numbers from 0; read whole, as order has no meaning across splits."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
 
 
