@@ -67,3 +67,10 @@ def stratified(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> Da
     """At most n rows a group, without replacement, in the order of a hash of key and seed."""
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key)
     return df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
+
+
+def frip(counts: DataFrame, fragments: DataFrame, x: str = "x", n: str = "n_fragments") -> DataFrame:
+    """(cell, frip) for each cell of fragments(cell, n): the sum of its counts(cell, x) over its fragments, 0 if it has none of either."""
+    sums = counts.groupBy("cell").agg(F.sum(x).alias("__s"))
+    share = F.when(F.col(n) > 0, F.coalesce("__s", F.lit(0)) / F.col(n)).otherwise(0.0)
+    return fragments.join(sums, "cell", "left").select("cell", share.alias("frip"))

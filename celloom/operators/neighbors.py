@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from celloom.operators import stats as statistics
 from celloom.session import ship, stored
 
 #: Points of a block; a task holds one block of queries and one of points.
@@ -59,3 +60,61 @@ def feature_neighbours(stats: DataFrame, wanted: DataFrame, k: int, digits: int
     points = stored(stats.select(F.col("feat").alias("id"), F.array(F.round("mean", digits), F.round("var", digits)).alias("vec")), "feature-points")
     near = knn(points, points.join(wanted.select(F.col("feat").alias("id")), "id", "left_semi"), k, digits=digits)
     return near.select(F.col("query").alias("feat"), "neighbour", "rank")
+
+
+#: Shares of the reference's own distances that serve as thresholds of novelty.
+NOVELTY = [0.95, 0.99, 0.995, 0.999]
+
+
+def novelty(reference: DataFrame, queries: DataFrame, k: int = 15, key: str = "id", vector: str = "vec", digits: int = 9) -> DataFrame:
+    """(id, novelty, q95, q99, q995, q999, novel): mean distance to the k nearest of the reference, the quantiles of this distance
+    within the reference (each point left out of its own neighbours), and whether the mean is over the first of them."""
+
+    def mean(found: DataFrame) -> DataFrame:
+        return found.groupBy("query").agg(F.round(F.avg("distance"), digits).alias("novelty"))
+
+    own = statistics.quantiles(mean(knn(reference, reference, k, key, vector, digits=digits)), "novelty", NOVELTY)
+    limits = own.toDF("q95", "q99", "q995", "q999")
+    scored = mean(knn(reference, queries, k, key, vector, skip_self=False, digits=digits)).crossJoin(F.broadcast(limits))
+    return scored.select(F.col("query").alias(key), "novelty", *limits.columns, (F.col("novelty") > F.col("q95")).alias("novel"))
+
+
+def memberships(distances: np.ndarray, k: int, steps: int = 64, least: float = 1e-3) -> np.ndarray:
+    """Weights exp(-(d - rho) / sigma) of rows of distances (inf: none): rho is the least positive distance, sigma makes a row's sum
+    log2(k), but is at least a share of the row's mean distance."""
+    known = np.isfinite(distances)
+    rho = np.where(known & (distances > 0), distances, np.inf).min(1)
+    rho = np.where(np.isfinite(rho), rho, 0.0)[:, None]
+    over = np.where(known, np.maximum(distances - rho, 0.0), np.inf)
+    low, high, sigma = np.zeros_like(rho), np.full_like(rho, np.inf), np.ones_like(rho)
+    for _ in range(steps):
+        wide = np.exp(-over / sigma).sum(1, keepdims=True) > np.log2(k)
+        low, high = np.where(wide, low, sigma), np.where(wide, sigma, high)
+        sigma = np.where(np.isfinite(high), (low + high) / 2, 2 * low)
+    mean = np.where(known, distances, 0.0).sum(1, keepdims=True) / np.maximum(known.sum(1, keepdims=True), 1)
+    sigma = np.maximum(sigma, np.maximum(least * mean, 1e-300))
+    return np.where(known, np.exp(-over / sigma), 0.0)
+
+
+def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
+    """(a, b, weight), both ways: the fuzzy union u + v - uv of the directed memberships of knn()'s rows; k counts the point itself.
+
+    A task sees the at most k - 1 neighbours of each of its points.
+    """
+    ship(near.sparkSession)
+    rows = near.where(F.col("rank") < k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("own"))
+    rows = rows.select("query", F.col("own.neighbour").alias("ids"), F.col("own.distance").alias("distances"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            table = np.full((len(batch), k - 1), np.inf)
+            for i, d in enumerate(batch.distances):
+                table[i, : len(d)] = d
+            weight, sizes = memberships(table, k), batch.ids.map(len).to_numpy()
+            held = np.arange(k - 1)[None] < sizes[:, None]
+            yield pd.DataFrame({"a": np.repeat(batch["query"].to_numpy(), sizes), "b": np.concatenate([*batch.ids, np.zeros(0, np.int64)]).astype(np.int64), "weight": weight[held]})
+
+    directed = rows.mapInPandas(weigh, "a long, b long, weight double")
+    both = directed.unionByName(directed.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    u, v = F.max("weight"), F.min("weight")
+    return both.groupBy("a", "b").agg(F.when(F.count("*") > 1, u + v - u * v).otherwise(u).alias("weight")).where("weight > 0")

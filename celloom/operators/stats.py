@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celloom.session import stored
+
 
 def draw(n: int, *parts: Column | int | str) -> Column:
     """A number from 0 to n-1 that the parts decide: the first 32 bits of an MD5, the same in every engine."""
@@ -26,6 +28,48 @@ def monte_carlo(null: DataFrame, observed: DataFrame, keys: list[str], digits: i
     return observed.join(null, keys).groupBy(*keys).agg(((hit + F.lit(1.0)) / (F.count("*") + F.lit(1.0))).alias("p"))
 
 
+def ranks(values: DataFrame, value: str, *counts: Column) -> DataFrame:
+    """(value, n0, below0, n1, below1 ...): for each distinct value the sum of each count over its rows, and over all smaller values.
+
+    Distinct values are dealt out by ranges and stored; a task sums up its own range, and only one total a range is summed in one
+    place. Null and NaN values are left out.
+    """
+    sums = {f"n{i}": F.sum(c).cast("long") for i, c in enumerate(counts)}
+    held = values.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(value).agg(*[c.alias(n) for n, c in sums.items()])
+    held = stored(held.repartitionByRange(value).withColumn("__part", F.spark_partition_id()), "ranks")
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = held.groupBy("__part").agg(*[F.sum(n).alias(n) for n in sums])
+    parts = parts.select("__part", *[before(n, Window.orderBy("__part")).alias(f"__{n}") for n in sums])
+    own = Window.partitionBy("__part").orderBy(value)
+    below = [c for n in sums for c in (F.col(n), (before(n, own) + F.col(f"__{n}")).alias(f"below{n[1:]}"))]
+    return held.join(parts, "__part").select(value, *below)
+
+
+def quantiles(values: DataFrame, value: str, at: list[float]) -> DataFrame:
+    """One row (q0, q1 ...): the quantiles at the given shares, by linear interpolation between neighbours; null without values."""
+    held = stored(ranks(values, value, F.lit(1)), "quantile-ranks")
+    total = held.agg(F.sum("n0").alias("__n"))
+    picks = []
+    for i, share in enumerate(at):
+        place = F.lit(share) * (F.col("__n") - 1)
+        take = lambda k: F.max(F.when((F.col("below0") <= k) & (k < F.col("below0") + F.col("n0")), F.col(value)))
+        picks += [take(F.floor(place)).alias(f"lo{i}"), take(F.ceil(place)).alias(f"hi{i}"), F.max(place - F.floor(place)).alias(f"w{i}")]
+    found = held.crossJoin(F.broadcast(total)).agg(*picks)
+    return found.select(*[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}") for i in range(len(at))])
+
+
+def pooled(null: DataFrame, observed: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
+    """(keys, p): (draws of all rows together at or over the observed value + 1) / (draws + 1); missing draws never reach it.
+
+    A missing observed value has a null p.
+    """
+    both = null.select(F.round("null_value", digits).alias("v"), F.lit(1).alias("k")).unionByName(observed.select(F.round("value", digits).alias("v"), F.lit(0).alias("k")))
+    held = stored(ranks(both, "v", F.col("k")), "pooled-ranks")
+    totals = null.agg(F.count("*").alias("m")).crossJoin(held.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("known")))
+    seen = observed.select(*keys, F.round("value", digits).alias("v")).join(held.select("v", "below0"), "v", "left")
+    return seen.crossJoin(F.broadcast(totals)).select(*keys, ((F.col("known") - F.col("below0") + F.lit(1.0)) / (F.col("m") + F.lit(1.0))).alias("p"))
+
+
 def majority(neighbours: DataFrame, node: str, label: str) -> DataFrame:
     """(node, label, confidence): each node's most frequent neighbour label, ties by the smaller, and its share."""
     counts = neighbours.groupBy(node, label).agg(F.count("*").alias("n"))

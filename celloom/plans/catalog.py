@@ -332,6 +332,17 @@ def monte_carlo_p(spark, sf_dir):
     return rounded(stats.monte_carlo(null, seen, ["id"]), "p")
 
 
+@query(
+    """WITH o AS (SELECT p_partkey AS id, (p_partkey % 97)::DOUBLE AS value FROM part), n AS (SELECT id, (('0x' || substr(md5(concat_ws('|', id, i, 5)), 1, 8))::BIGINT % 97)::DOUBLE AS null_value FROM o, range(0, 50) t(i)),
+    c AS (SELECT null_value AS v, count(*) AS k FROM n GROUP BY 1), h AS (SELECT value, coalesce(sum(k), 0) AS hits FROM (SELECT DISTINCT value FROM o) LEFT JOIN c ON v >= value GROUP BY 1)
+    SELECT id, round((hits + 1.0::DOUBLE) / ((SELECT sum(k) FROM c) + 1.0::DOUBLE), 6) AS p FROM o JOIN h USING (value)"""
+)
+def pooled_p(spark, sf_dir):
+    seen = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97).cast("double").alias("value"))
+    null = seen.select("id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i")).select(stats.draw(97, F.col("id"), F.col("i"), 5).cast("double").alias("null_value"))
+    return rounded(stats.pooled(null, seen, ["id"]), "p")
+
+
 @query(
     f"""{INFOG}, {_COSG}, {_TOP}, h AS (SELECT grp AS a, feat FROM tp), n AS (SELECT a, count(*) AS n FROM h GROUP BY 1), s AS (SELECT x.a, y.a AS b, count(*) AS k FROM h x JOIN h y ON x.feat = y.feat AND x.a < y.a GROUP BY 1, 2)
     SELECT s.a, s.b, round(k::DOUBLE / (n.n + m.n - k), 6) AS jaccard FROM s JOIN n ON n.a = s.a JOIN n m ON m.a = s.b"""
@@ -373,6 +384,25 @@ def knn_across_batches(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+_FAR = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
+
+
+@query(
+    f"""WITH w AS (SELECT a.vec_id AS id, a.label, {_FAR} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.label <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_FAR}, b.vec_id) <= 15),
+    m AS (SELECT id, any_value(label) AS label, round(avg(d), 9) AS novelty FROM w GROUP BY 1), q AS (SELECT quantile_cont(novelty, [0.95, 0.99, 0.995, 0.999]) AS q FROM m WHERE label <> 0)
+    SELECT id, round(novelty, 6) AS novelty, round(q[1], 6) AS q95, round(q[2], 6) AS q99, round(q[3], 6) AS q995, round(q[4], 6) AS q999, novelty > q[1] AS novel FROM m, q WHERE label = 0"""
+)
+def novelty(spark, sf_dir):
+    held = model.points(spark, sf_dir)
+    return rounded(neighbors.novelty(held.where("label <> 0"), held.where("label = 0")), "novelty", "q95", "q99", "q995", "q999")
+
+
+@query()
+def fuzzy_graph(spark, sf_dir):
+    held = model.points(spark, sf_dir)
+    return rounded(neighbors.fuzzy_graph(neighbors.knn(held, held, 14), 15), "weight")
+
+
 _FR = "fr AS (SELECT l_suppkey % 5 AS chrom, l_partkey * 50 + l_linenumber * 37 AS s, l_partkey * 50 + l_linenumber * 37 + (l_quantity * 4)::BIGINT AS t, l_orderkey AS cell FROM lineitem)"
 _PK = "pk AS (SELECT s_suppkey % 5 AS chrom, s_suppkey * 997 AS p_start, s_suppkey * 997 + 400 AS p_end, s_suppkey AS peak FROM supplier)"
 
@@ -387,6 +417,16 @@ def quantify_peaks(spark, sf_dir):
     return intervals.quantify(model.fragments(spark, sf_dir), model.peaks(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_FR}, {_PK}, q AS (SELECT cell, count(*) AS x FROM fr JOIN pk ON fr.chrom = pk.chrom AND p_start < t AND p_end > s GROUP BY 1), n AS (SELECT cell, count(*) AS n FROM fr GROUP BY 1)
+    SELECT n.cell, round(coalesce(x, 0)::DOUBLE / n, 6) AS frip FROM n LEFT JOIN q ON q.cell = n.cell"""
+)
+def frip(spark, sf_dir):
+    held = model.fragments(spark, sf_dir)
+    sizes = held.groupBy("cell").agg(F.count("*").alias("n_fragments"))
+    return rounded(metrics.frip(intervals.quantify(held, model.peaks(spark, sf_dir)), sizes, "n"), "frip")
+
+
 @query(f"WITH {_FR}, {_PK} SELECT pk.peak, q.peak AS other FROM pk JOIN pk q ON q.chrom = pk.chrom AND q.p_start <= pk.p_start + 6000 AND q.p_end >= pk.p_start - 6000")
 def intervals_near_points(spark, sf_dir):
     held = model.peaks(spark, sf_dir)

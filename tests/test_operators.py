@@ -1,6 +1,9 @@
+import math
+
+import numpy as np
 import pytest
 
-from celloom.operators import filters, intervals
+from celloom.operators import filters, intervals, metrics, neighbors, stats
 from celloom.sources import tables
 
 
@@ -38,3 +41,48 @@ def test_read_mtx_and_bed(spark, tmp_path):
     assert [r.symbol for r in tables.make_unique(feats, "symbol", "feat").orderBy("feat").collect()] == ["A", "A-1"]
     (tmp_path / "p.bed").write_text("#c\ntrack x\nchr1\t5\t9\nchr1\t9\t9\nchr1\t1\nchr2\t0\t4\n")
     assert [tuple(r) for r in tables.read_bed(spark, str(tmp_path / "p.bed")).orderBy("peak").collect()] == [("chr1", 5, 9, 0, "chr1:5-9"), ("chr2", 0, 4, 1, "chr2:0-4")]
+
+
+def test_ranks_and_quantiles(spark):
+    values = np.round(np.random.default_rng(3).exponential(size=500), 2)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(7)
+    for r in stats.ranks(df, "v", stats.F.lit(1)).collect():
+        assert (r.n0, r.below0) == ((values == r.v).sum(), (values < r.v).sum())
+    found = stats.quantiles(df, "v", [0.0, 0.5, 0.95, 1.0]).first()
+    assert np.allclose(list(found), np.quantile(values, [0.0, 0.5, 0.95, 1.0]))
+    assert tuple(stats.quantiles(df.limit(0), "v", [0.5]).first()) == (None,)
+
+
+def test_pooled_p_of_missing_values(spark):
+    null = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),)], "null_value double")
+    seen = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 9.0), (4, None)], "id long, value double")
+    assert {r.id: r.p for r in stats.pooled(null, seen, ["id"]).collect()} == {1: 3 / 5, 2: 2 / 5, 3: 1 / 5, 4: None}
+
+
+def test_frip_of_cells_without_fragments(spark):
+    counts = spark.createDataFrame([(1, 2.0), (1, 1.0), (3, 4.0)], "cell long, x double")
+    sizes = spark.createDataFrame([(1, 6), (2, 5), (3, 0)], "cell long, n_fragments long")
+    assert {r.cell: r.frip for r in metrics.frip(counts, sizes).collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+
+
+def test_fuzzy_graph_equals_brute_force(spark):
+    k, points = 6, np.random.default_rng(5).normal(size=(40, 3))
+    points[7] = points[8]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, vec array<double>")
+    directed = {}
+    for i in range(len(points)):
+        d = sorted((round(math.dist(points[i], points[j]), 9), j) for j in range(len(points)) if j != i)[: k - 1]
+        rho = min(x for x, _ in d if x > 0)
+        total = lambda s: sum(math.exp(-max(0.0, x - rho) / s) for x, _ in d)  # noqa: B023, E731
+        low, high = 1e-9, 1e3
+        for _ in range(200):
+            low, high = (low, (low + high) / 2) if total((low + high) / 2) > math.log2(k) else ((low + high) / 2, high)
+        sigma = max(low, 1e-3 * sum(x for x, _ in d) / len(d))
+        directed |= {(i, j): math.exp(-max(0.0, x - rho) / sigma) for x, j in d}
+    want = {}
+    for a, b in directed:
+        u, v = directed[a, b], directed.get((b, a), 0.0)
+        want[a, b] = want[b, a] = u + v - u * v
+    found = {(r.a, r.b): r.weight for r in neighbors.fuzzy_graph(neighbors.knn(df, df, k - 1), k).collect()}
+    assert found.keys() == {p for p, w in want.items() if w > 0}
+    assert all(abs(found[p] - want[p]) < 1e-6 for p in found)
