@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celloom.operators import filters, intervals, markers, metrics, neighbors, normalize, stats
+from celloom.operators import decompose, filters, intervals, markers, metrics, neighbors, normalize, stats
 from celloom.session import stored, table
 from celloom.sources import model
 
@@ -403,6 +403,18 @@ def fuzzy_graph(spark, sf_dir):
     return rounded(neighbors.fuzzy_graph(neighbors.knn(held, held, 14), 15), "weight")
 
 
+@query()
+def svd(spark, sf_dir):
+    scores, _, _ = decompose.svd(model.entries(spark, sf_dir), 10)
+    return scores.select("cell", F.transform("vec", lambda x: F.round(x, DIGITS)).alias("vec"))
+
+
+@query()
+def infog_svd(spark, sf_dir):
+    scores, _, _ = decompose.svd(_infog(spark, sf_dir).select("cell", "feat", F.col("z").alias("x")), 10)
+    return scores.select("cell", F.transform("vec", lambda x: F.round(x, DIGITS)).alias("vec"))
+
+
 _FR = "fr AS (SELECT l_suppkey % 5 AS chrom, l_partkey * 50 + l_linenumber * 37 AS s, l_partkey * 50 + l_linenumber * 37 + (l_quantity * 4)::BIGINT AS t, l_orderkey AS cell FROM lineitem)"
 _PK = "pk AS (SELECT s_suppkey % 5 AS chrom, s_suppkey * 997 AS p_start, s_suppkey * 997 + 400 AS p_end, s_suppkey AS peak FROM supplier)"
 

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from celloom.operators import filters, intervals, metrics, neighbors, stats
+from celloom.operators import decompose, filters, intervals, metrics, neighbors, stats
 from celloom.sources import tables
 
 
@@ -86,3 +86,22 @@ def test_fuzzy_graph_equals_brute_force(spark):
     found = {(r.a, r.b): r.weight for r in neighbors.fuzzy_graph(neighbors.knn(df, df, k - 1), k).collect()}
     assert found.keys() == {p for p, w in want.items() if w > 0}
     assert all(abs(found[p] - want[p]) < 1e-6 for p in found)
+
+
+def test_svd_equals_numpy(spark):
+    rng = np.random.default_rng(11)
+    dense = (rng.normal(size=(60, 6)) * [9, 7, 5, 3, 2, 1]) @ rng.normal(size=(6, 40)) * (rng.random((60, 40)) < 0.5)
+    rows = [(i, 100 + 3 * j, float(dense[i, j])) for i, j in zip(*np.nonzero(dense), strict=True)]
+    df = spark.createDataFrame([(int(a), int(b), c) for a, b, c in rows], "cell long, feat long, x double")
+    scores, values, loadings = decompose.svd(df.repartition(5), 4, rounds=30)
+    u, s, vt = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(values, s[:4], rtol=1e-6)
+    found = np.zeros((60, 4))
+    for r in scores.collect():
+        found[r.cell] = r.vec
+    assert np.allclose(np.abs(found), np.abs(u[:, :4] * s[:4]), atol=1e-3)
+    v = np.array([r.vec for r in loadings.orderBy("feat").collect()])
+    assert (v[np.abs(v).argmax(0), np.arange(4)] > 0).all()
+    assert np.allclose(v.T @ v, np.eye(4), atol=1e-9)
+    scores, values, loadings = decompose.svd(df.limit(0), 4)
+    assert scores.count() == loadings.count() == len(values) == 0
