@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celloom.operators.neighbors import feature_neighbours
-from celloom.operators.stats import draw
-from celloom.session import small
+from celloom.operators.stats import bh, draw
+from celloom.session import small, stored
 
 
 def cosg(values: DataFrame, cells: DataFrame, group: str, value: str, mu: float = 1.0, expressed: float = 0.0) -> DataFrame:
@@ -58,3 +58,51 @@ def analyse_markers(markers: DataFrame, query: DataFrame, least: int = 1) -> Dat
     hits = query.join(markers, "feat").groupBy("set", "cell_type", "study").agg(F.count("*").alias("count"), F.avg("score").alias("avg_score")).where(F.col("count") >= least)
     w = Window.partitionBy("set").orderBy(F.col("count").desc(), F.round("avg_score", 9).desc(), "cell_type", "study")
     return hits.withColumn("rank", F.row_number().over(w))
+
+
+def ligand_receptor_p(specificity: DataFrame, pairs: DataFrame, stats: DataFrame, neighbours: int = 30, draws: int = 1000, seed: int = 1927, threshold: float | None = None, digits: int = 12) -> DataFrame:
+    """ligand_receptor()'s rows with p_value, p_value_fdr and nlog10_p_value_fdr.
+
+    In each draw ligand and receptor give way to neighbours by mean and variance, drawn apart; p is (draws whose product reaches the
+    score + 1) / (draws + 1). Missing specificities never reach it. Rates are found within each sender and receiver, from p at six
+    digits; rows at or below the threshold are left out there and get 1. pairs(ligand, receptor, annotation) may repeat.
+    """
+    scored = stored(ligand_receptor(specificity, pairs), "lr-scores")
+    both = scored.select("ligand", "receptor").distinct()
+    near = stored(feature_neighbours(stats, both.select(F.col("ligand").alias("feat")).union(both.select("receptor")).distinct(), neighbours), "lr-neighbours")
+    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    pick = lambda side: draw(neighbours, F.col("ligand"), F.col("receptor"), F.col("draw"), side, seed) + 1
+    drawn = drawn.withColumn("lk", pick("ligand")).withColumn("rk", pick("receptor"))
+    own = small(near)
+    drawn = drawn.join(own.toDF("ligand", "l", "lk"), ["ligand", "lk"]).join(own.toDF("receptor", "r", "rk"), ["receptor", "rk"]).select("ligand", "receptor", "l", "r")
+    left, right = (small(specificity.select(F.col("feat").alias(c), F.col("grp").alias(name), F.col("score").alias(c + "s"))) for c, name in (("l", "sender"), ("r", "receiver")))
+    null = drawn.join(left, "l").join(right, "r").select("ligand", "receptor", "sender", "receiver", F.round(F.col("ls") * F.col("rs"), digits).alias("null_value"))
+    keys = ["ligand", "receptor", "sender", "receiver"]
+    wanted = scored.select(*keys, F.round("score", digits).alias("value")).distinct()
+    over = null.join(wanted, keys).where("null_value >= value").groupBy(*keys).count()
+    tested = stored(scored.join(over, keys, "left").withColumn("p_value", (F.coalesce("count", F.lit(0)) + F.lit(1.0)) / F.lit(draws + 1.0)).drop("count"), "lr-tested")
+    fits = F.lit(True) if threshold is None else F.col("score") > F.lit(threshold)
+    rated = bh(tested.where(fits).withColumn("__p", F.round("p_value", 6)), "__p", ["sender", "receiver"], ["ligand", "receptor", "annotation"]).drop("__p").withColumnRenamed("fdr", "p_value_fdr")
+    if threshold is not None:
+        rated = rated.unionByName(tested.where(~fits | F.col("score").isNull()).withColumn("p_value_fdr", F.lit(1.0)))
+    return rated.withColumn("nlog10_p_value_fdr", F.greatest(F.lit(0.0), -F.log10(F.col("p_value_fdr") + F.lit(1e-10))))
+
+
+def query_markers(markers: DataFrame, limit: int | None = None, offset: int = 0, min_score: float | None = None, max_score: float | None = None, **wanted: str | list[str]) -> DataFrame:
+    """Marker records by descending score, then feature and the wanted columns: each wanted column is one of its values, scores are
+    within inclusive limits. Scores and paging below 0, or a column that is not there, raise."""
+    if any(x is not None and x < 0 for x in (min_score, max_score, limit, offset)):
+        raise ValueError("scores, limit and offset must be 0 or more")
+    if min_score is not None and max_score is not None and min_score > max_score:
+        raise ValueError("min_score is over max_score")
+    for name, values in wanted.items():
+        if name not in markers.columns:
+            raise KeyError(f"{name}: columns are {', '.join(markers.columns)}")
+        markers = markers.where(F.col(name).isin([values] if isinstance(values, str) else list(values)))
+    if min_score is not None:
+        markers = markers.where(F.col("score") >= min_score)
+    if max_score is not None:
+        markers = markers.where(F.col("score") <= max_score)
+    found = markers.orderBy(F.round("score", 9).desc(), "feat", *[c for c in markers.columns if c not in ("feat", "score")])
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)

@@ -85,3 +85,34 @@ def jaccard(sets: DataFrame, name: str, item: str) -> DataFrame:
     shared = held.join(held.withColumnRenamed("a", "b"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
     joined = shared.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
     return joined.select("a", "b", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("jaccard"))
+
+
+def two_samples(df: DataFrame, value: str, first: str) -> DataFrame:
+    """One row (n1, n2, u, u_z, ks): Mann-Whitney's U of the rows where `first` holds against the others, its z (normal approximation
+    with ties), and the greatest distance of both distribution functions. Null and NaN values are left out; without rows on a side
+    the statistics are null."""
+    held = df.select(F.col(value).cast("double").alias("v"), F.col(first).alias("one")).where("one is not null")
+    by = stored(ranks(held, "v", F.col("one").cast("int"), (~F.col("one")).cast("int")), "two-samples")
+    totals = by.agg(F.sum("n0").cast("double").alias("n1"), F.sum("n1").cast("double").alias("n2"))
+    rows = by.select("v", F.col("n0").alias("a"), "below0", F.col("n1").alias("b"), "below1").crossJoin(F.broadcast(totals))
+    tied = F.col("a").cast("double") + F.col("b")
+    gap = F.abs((F.col("below0") + F.col("a")) / F.col("n1") - (F.col("below1") + F.col("b")) / F.col("n2"))
+    found = rows.where("n1 > 0 and n2 > 0").agg(
+        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.sum(F.col("a") * (F.col("below1") + F.col("b") / 2.0)).alias("u"), F.sum(tied * tied * tied - tied).alias("ties"), F.max(gap).alias("ks")
+    )
+    n, product = F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2")
+    spread = F.sqrt(product / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    return found.select(F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", F.when(spread > 0, (F.col("u") - product / 2) / spread).alias("u_z"), "ks")
+
+
+#: Parts into which rows are split while they are numbered.
+PARTS = 256
+
+
+def numbered(df: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """df with a gapless number from 0, in an order that a hash of the key decides; no task sees more than a part of the rows."""
+    held = df.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    counts = held.groupBy("__part").count()
+    begins = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__begin"))
+    within = Window.partitionBy("__part").orderBy(F.xxhash64(key), key)
+    return held.join(F.broadcast(begins), "__part").withColumn(name, F.col("__begin") + F.row_number().over(within) - 1).drop("__part", "__begin")

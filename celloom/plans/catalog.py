@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celloom.operators import decompose, filters, intervals, markers, metrics, neighbors, normalize, stats
+from celloom.operators import decompose, doublets, filters, graphs, intervals, markers, metrics, motifs, neighbors, normalize, stats
 from celloom.session import stored, table
 from celloom.sources import model
 
@@ -458,6 +459,131 @@ def make_unique(spark, sf_dir):
     return unique(model.features(spark, sf_dir).select("feat", F.col("kind").alias("name")), "name", "feat").select("feat", "name")
 
 
+_DRAWN = "(('0x' || substr(md5(concat_ws('|', ligand, receptor, i, '{}', 1927)), 1, 8))::BIGINT % 30) + 1"
+
+
+@query(
+    f"""{INFOG}, {_COSG}, {_LR}, sc AS MATERIALIZED (SELECT ligand, receptor, annotation, a.grp AS sender, b.grp AS receiver, a.score * b.score AS score FROM pr JOIN cs a ON a.feat = ligand JOIN cs b ON b.feat = receptor),
+    pt AS MATERIALIZED (SELECT feat, round(mean, 9) AS mean, round(var, 9) AS var FROM v),
+    nn AS MATERIALIZED (SELECT a.feat, b.feat AS neighbour, row_number() OVER (PARTITION BY a.feat ORDER BY round(sqrt((a.mean - b.mean) ** 2 + (a.var - b.var) ** 2), 9), b.feat) AS rank
+      FROM pt a JOIN pt b ON a.feat <> b.feat WHERE a.feat IN (SELECT ligand FROM sc UNION SELECT receptor FROM sc) QUALIFY rank <= 30),
+    dr AS (SELECT ligand, receptor, {_DRAWN.format('ligand')} AS lk, {_DRAWN.format('receptor')} AS rk FROM (SELECT DISTINCT ligand, receptor FROM sc), range(0, 20) t(i)),
+    nv AS (SELECT ligand, receptor, a.grp AS sender, b.grp AS receiver, round(a.score * b.score, 12) AS nv FROM dr JOIN nn x ON x.feat = ligand AND x.rank = lk JOIN nn y ON y.feat = receptor AND y.rank = rk JOIN cs a ON a.feat = x.neighbour JOIN cs b ON b.feat = y.neighbour),
+    ov AS (SELECT ligand, receptor, sender, receiver, count(*) AS k FROM sc JOIN nv USING (ligand, receptor, sender, receiver) WHERE nv >= round(score, 12) GROUP BY 1, 2, 3, 4),
+    ps AS (SELECT sc.*, (coalesce(k, 0) + 1.0::DOUBLE) / 21.0::DOUBLE AS p_value FROM sc LEFT JOIN ov USING (ligand, receptor, sender, receiver)),
+    r AS (SELECT *, round(p_value, 6) * count(*) OVER (PARTITION BY sender, receiver) / row_number() OVER (PARTITION BY sender, receiver ORDER BY round(p_value, 6), ligand, receptor, annotation) AS raw FROM ps)
+    SELECT ligand, receptor, annotation, sender, receiver, round(p_value, 6) AS p_value,
+      round(least(1.0::DOUBLE, min(raw) OVER (PARTITION BY sender, receiver ORDER BY round(p_value, 6), ligand, receptor, annotation ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_value_fdr FROM r"""
+)
+def ligand_receptor_p(spark, sf_dir):
+    z = stored(_infog(spark, sf_dir), "infog")
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"), F.col("p_type").alias("annotation"))
+    found = markers.ligand_receptor_p(stored(_cosg(spark, sf_dir, z), "specificity"), pairs, _moments(spark, sf_dir, z), draws=20)
+    return rounded(found.select("ligand", "receptor", "annotation", "sender", "receiver", "p_value", "p_value_fdr"), "p_value", "p_value_fdr")
+
+
+@query(f"{INFOG}, {_COSG} SELECT feat, grp AS cell_type, round(score, 6) AS score FROM cs WHERE grp IN ('BUILDING', 'FURNITURE') AND score >= 0 ORDER BY round(score, 9) DESC, feat, grp LIMIT 100 OFFSET 20")
+def query_markers(spark, sf_dir):
+    records = _cosg(spark, sf_dir).select("feat", F.col("grp").alias("cell_type"), "score")
+    return rounded(markers.query_markers(records, 100, 20, min_score=0, cell_type=["BUILDING", "FURNITURE"]), "score")
+
+
+@query(
+    """WITH s AS (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS one FROM customer), n AS (SELECT (count(*) FILTER (one))::DOUBLE AS n1, (count(*) FILTER (NOT one))::DOUBLE AS n2 FROM s),
+    r AS (SELECT one, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM s), u AS (SELECT sum(r) FILTER (one) AS r1 FROM r),
+    t AS (SELECT sum(k ** 3 - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM s GROUP BY v)),
+    f AS (SELECT max(abs(a / n1 - b / n2)) AS ks FROM (SELECT count(*) FILTER (one) OVER (ORDER BY v) AS a, count(*) FILTER (NOT one) OVER (ORDER BY v) AS b FROM s), n)
+    SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, r1 - n1 * (n1 + 1) / 2 AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS u_z, round(ks, 6) AS ks FROM n, u, t, f"""
+)
+def two_samples(spark, sf_dir):
+    held = table(spark, sf_dir, "customer").select("c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("one"))
+    return rounded(stats.two_samples(held, "c_acctbal", "one"), "u_z", "ks")
+
+
+_GRAPH = f"{_NN}, gr AS MATERIALIZED (SELECT query AS a, neighbour AS b FROM nn UNION SELECT neighbour, query FROM nn), pt AS (SELECT vec_id AS node, label FROM embeddings)"
+
+
+def _graph(spark, sf_dir):
+    near = _near(spark, sf_dir).select(F.col("query").alias("a"), F.col("neighbour").alias("b"), F.lit(1.0).alias("weight"))
+    return stored(graphs.both_ways(near), "graph")
+
+
+@query(f"WITH {_GRAPH}, s AS (SELECT x.label, count(*)::DOUBLE AS total, count(*) FILTER (x.label = y.label) AS inside FROM gr JOIN pt x ON x.node = a JOIN pt y ON y.node = b GROUP BY 1) SELECT round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) AS modularity FROM s")
+def modularity(spark, sf_dir):
+    return rounded(graphs.modularity(_graph(spark, sf_dir), model.points(spark, sf_dir).select("id", "label")), "modularity")
+
+
+@query(f"WITH {_GRAPH} SELECT a, b FROM gr JOIN pt x ON x.node = a JOIN pt y ON y.node = b WHERE a % 3 = b % 3 OR x.label = y.label OR (x.label IN (0, 1) AND y.label IN (0, 1))")
+def prune_edges(spark, sf_dir):
+    nodes = model.points(spark, sf_dir).select(F.col("id").alias("node"), (F.col("id") % 3).alias("batch"), F.col("label").alias("cluster"))
+    pairs = nodes.select(F.col("cluster").alias("ca"), F.col("cluster").alias("cb")).distinct().unionByName(spark.sql("SELECT 0 AS ca, 1 AS cb"))
+    return graphs.prune(_graph(spark, sf_dir), nodes, pairs).select("a", "b")
+
+
+@query(f"WITH {_GRAPH} SELECT a AS node, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS value FROM gr JOIN embeddings ON vec_id = b, range(1, 65) t(i) GROUP BY 1, 2")
+def stitch(spark, sf_dir):
+    points = model.points(spark, sf_dir).select(F.col("id").alias("node"), F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "value"))
+    return rounded(graphs.stitch(_graph(spark, sf_dir), points), "value")
+
+
+@query()
+def communities(spark, sf_dir):
+    held = model.points(spark, sf_dir)
+    return graphs.communities(neighbors.fuzzy_graph(neighbors.knn(held, held, 14), 15))
+
+
+@query()
+def communities_within(spark, sf_dir):
+    groups = model.points(spark, sf_dir).select(F.col("id").alias("node"), (F.col("label") % 2).alias("grp"))
+    return graphs.within_groups(_graph(spark, sf_dir), groups)
+
+
+@query()
+def dendrogram(spark, sf_dir):
+    rows = metrics.centroids(model.points(spark, sf_dir), "label", "vec").orderBy("label", "dim").limit(graphs.TREE_GROUPS * 64 + 1).collect()
+    means = np.array([r["mean"] for r in rows]).reshape(-1, 64)
+    merges = [(int(a), int(b), round(float(h), DIGITS), int(n)) for a, b, h, n in graphs.linkage(means, "ward")]
+    return spark.createDataFrame(merges, "left long, right long, height double, size long")
+
+
+@query()
+def find_doublets(spark, sf_dir):
+    return rounded(doublets.find(model.entries(spark, sf_dir), model.cells(spark, sf_dir), components=10), "doublet_score")
+
+
+#: A motif matrix with one likely base a place.
+def _matrix(word: str) -> np.ndarray:
+    return motifs.log_odds(np.where(np.array(list(motifs.BASES))[:, None] == np.array(list(word)), 0.97, 0.01))
+
+
+_SEQ = "sq AS (SELECT p_partkey AS seq, translate(md5(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGN') AS s FROM part)"
+_HI, _LO = (f"log2(({p} + 0.0025::DOUBLE) / 1.01::DOUBLE / 0.25::DOUBLE)" for p in (0.97, 0.01))
+
+
+def _sequences(spark, sf_dir):
+    letters = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), letters.alias("s"))
+
+
+@query(
+    f"""WITH {_SEQ}, m(motif, word) AS (VALUES ('ebox', 'CACGTG'), ('gc', 'GGGGCC')), b AS (SELECT * FROM m UNION ALL SELECT motif, reverse(translate(word, 'ACGT', 'TGCA')) FROM m),
+    w AS (SELECT seq, motif, list_sum(list_transform(range(1, 7), lambda j: (substr(s, (i + j - 1)::INTEGER, 1) = substr(word, j::INTEGER, 1))::INTEGER)) AS k FROM sq, b, range(1, 28) t(i)),
+    x AS (SELECT seq, motif, k * {_HI} + (6 - k) * {_LO} AS score FROM w), h AS (SELECT seq, motif, max(score) AS best, count(*) AS n_hits FROM x WHERE score >= 0.55::DOUBLE * 6 * {_HI} + 0.45::DOUBLE * 6 * {_LO} GROUP BY 1, 2)
+    SELECT seq, motif, round(best, 6) AS best, coalesce(n_hits, 0) AS n_hits FROM sq CROSS JOIN m LEFT JOIN h USING (seq, motif)"""
+)
+def scan_motifs(spark, sf_dir):
+    held = {name: (_matrix(word), motifs.relative_threshold(_matrix(word), 0.55)) for name, word in (("ebox", "CACGTG"), ("gc", "GGGGCC"))}
+    return rounded(motifs.scan(_sequences(spark, sf_dir), held, "seq", "s"), "best")
+
+
+@query(
+    f"""WITH {_SEQ}, n AS (SELECT sum(length(s) - length(replace(s, 'A', ''))) AS a, sum(length(s) - length(replace(s, 'C', ''))) AS c, sum(length(s) - length(replace(s, 'G', ''))) AS g, sum(length(s) - length(replace(s, 'T', ''))) AS t FROM sq)
+    SELECT round((a + 1) / (a + c + g + t + 4), 6) AS a, round((c + 1) / (a + c + g + t + 4), 6) AS c, round((g + 1) / (a + c + g + t + 4), 6) AS g, round((t + 1) / (a + c + g + t + 4), 6) AS t FROM n"""
+)
+def base_background(spark, sf_dir):
+    return rounded(motifs.background(_sequences(spark, sf_dir), "s"), "a", "c", "g", "t")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
