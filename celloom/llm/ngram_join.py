@@ -92,21 +92,38 @@ def links_in_unit(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t
     return linked @ weight, root
 
 
+#: Rows over which a key counts as hot, and most hot keys: the limit rises with the rows so that there are never more.
+HOT_ROWS, HOT_KEYS = 500, 100_000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts of their key, facts(key, n, ...) being stored, one row a key with n, the number of its rows.
+
+    Facts of hot keys are broadcast, so that no task gets all rows of one; the others meet their rows in a shuffle.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(facts.drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): every node of the edges with the least node of its connected part, by alternating large and small stars.
 
-    Each round is stored in the shared folder; rounds grow with the logarithm of the longest path.
+    Each round is stored in the shared folder; rounds grow with the logarithm of the longest path. A node with many edges, the
+    middle of a star, has them in many tasks.
     """
     both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     now, seen = stored(both, "edges"), None
     while True:
         # large star: each node's larger neighbours move to its least neighbour
-        sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        larger = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        own = now.unionByName(larger).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        moved = hot_join(larger, stored(own, "edge-stars"), "u")
+        large = stored(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
         # small star: each node and its smaller neighbours move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        own = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edge-stars")
+        moved = hot_join(large, own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v")))
         now = stored(moved.where("u != v").distinct(), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
@@ -191,10 +208,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     found = stored(dealt.mapInPandas(verify, "h binary, peer binary, links long"), "ngram-links")
     linked = found.groupBy("h").agg(F.sum("links").alias("links"))
     roots = components(found, "h", "peer").withColumnRenamed("node", "h")
-    named = texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = stored(named.join(least, "root").select("h", "rep", "class_id", (F.coalesce("links", F.lit(0)) + F.when(F.col("weight") > 1, F.col("weight") - 1).otherwise(0)).alias("n_links")), "ngram-classes")
-    return rows.select("id", "h").join(named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links")
+    named = stored(texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left"), "ngram-roots")
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "ngram-roots")
+    named = stored(hot_join(named, least, "root").select("h", F.col("weight").alias("n"), "rep", "class_id", (F.coalesce("links", F.lit(0)) + F.when(F.col("weight") > 1, F.col("weight") - 1).otherwise(0)).alias("n_links")), "ngram-classes")
+    return hot_join(rows.select("id", "h"), named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,6 +72,22 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {39}
 
 
+def test_components_of_stars_and_paths(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+    draw = np.random.default_rng(6)
+    edges = [(7, 1000 + i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2060)] + [tuple(map(int, draw.integers(3000, 3400, 2))) for _ in range(250)] + [(5000, 5000)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        before = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    found = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(found) == len({r.node for r in found})
+    assert {n: n for n in root} | {r.node: r.root for r in found} == root
+
+
 def test_html_extraction(spark):
     page = '<html><head><title>t</title><script>var a="<p>x";</script></head><body><nav>menu</nav><div class="ad">buy</div><p>We use pages</p><article><h1>A &amp; B</h1><p>one\n two<p>three <b>four</b></article><div id="comments"><p>nice</p></div><footer>f</footer></body></html>'
     plain = "<body><div class='cookie-notice'>ok?</div><p>Same notice</p><p>body {}</p></body>"
