@@ -131,14 +131,19 @@ def _text_token(text: str, path: int) -> int:
     return int.from_bytes(blake2b(f"{path} {text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def templates(pages: DataFrame, host: str, page: str, html: str) -> DataFrame:
+def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
     """(host, tokens): the text tokens of the valid equivalence classes of each host; hosts without any are left out.
 
-    Occurrence vectors are compared by an exclusive or of hashes of (page, count), so all grouping is done by partial aggregates,
+    Rows of a host with equal html are one page, however often they occur. Occurrence vectors are compared by an exclusive or of hashes of (page, count), so all grouping is done by partial aggregates,
     and no task or driver ever holds the pages of a host.
     """
     ship(pages.sparkSession)
-    held = pages.select(F.col(host).alias("host"), F.col(page).alias("page"), F.col(html).alias("html"))
+    held = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).withColumn("content", F.unhex(F.md5("html")))
+    contents = stored(held.groupBy("host", "content").agg(F.count("*").alias("copies")), "html-contents")
+    copied = small(contents.where("copies > 1").select("host", "content"))
+    once = held.join(copied, ["host", "content"], "left_anti").select("host", "content", "html")
+    held = once.unionByName(held.join(copied, ["host", "content"], "left_semi").select("host", "content", "html").dropDuplicates(["host", "content"]))
+    held = held.select("host", F.xxhash64("content").alias("page"), "html")
     schema = "host long, page long, token long, is_text boolean, n int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +158,7 @@ def templates(pages: DataFrame, host: str, page: str, html: str) -> DataFrame:
 
     vectors = held.mapInPandas(run, schema).groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     vectors = stored(vectors.where(F.col("pages") >= LEAST_PAGES), "html-vectors")
-    sizes = held.groupBy("host").agg(F.count("*").alias("of"))
+    sizes = contents.groupBy("host").agg(F.count("*").alias("of"))
     classes = vectors.groupBy("host", "pages", "vector").agg(F.max(~F.col("is_text")).alias("nested"), F.max("is_text").alias("has_text")).where("nested and has_text")
     valid = classes.join(sizes, "host").where(F.col("pages") >= F.lit(LEAST_SHARE) * F.col("of"))
     return vectors.where("is_text").join(valid, ["host", "pages", "vector"]).groupBy("host").agg(F.collect_set("token").alias("tokens"))
@@ -164,12 +169,12 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
 
     A page with an article or main element gives the slots in these, another one all slots outside the frame. Character references
     are decoded, white space inside a block becomes one space. Null html is an empty page; a null url belongs to the host without a
-    name. Repeated pages give repeated rows; they count as pages of their host. Nothing is capped: a block of any length stays whole.
+    name. Repeated pages give repeated rows, but count as one page of their host. Nothing is capped: a block of any length stays whole.
     """
     ship(pages.sparkSession)
-    held = pages.select(*keep, F.xxhash64(host_of(F.col(url))).alias("__host"), F.xxhash64(*keep, url).alias("__page"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
-    found = small(stored(templates(held, "__host", "__page", "__html"), "html-templates").withColumnRenamed("host", "__host"), 10_000)
-    held = held.join(found, "__host", "left").drop("__host", "__page")
+    held = pages.select(*keep, F.xxhash64(host_of(F.col(url))).alias("__host"), F.coalesce(F.col(html), F.lit("")).alias("__html"))
+    found = small(stored(templates(held, "__host", "__html"), "html-templates").withColumnRenamed("host", "__host"), 10_000)
+    held = held.join(found, "__host", "left").drop("__host")
     schema = T.StructType(held.drop("__html", "tokens").schema.fields + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

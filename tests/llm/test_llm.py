@@ -98,6 +98,15 @@ def test_html_extraction(spark):
     assert got[11].text == "body 1"  # the notice on all of the host's pages is template
 
 
+def test_html_copies_count_as_one_page(spark):
+    page = "<html><body><article><h1>Title</h1><p>first part</p><p>second part</p></article></body></html>"
+    plain = "<body><div><p>Same notice</p></div><p>body {}</p></body>"
+    rows = [(i, f"http://a.org/{i}", page) for i in range(4)] + [(i, f"http://b.org/{i}", plain.format(max(i, 12))) for i in range(10, 16)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    assert all(got[i] == "Title\nfirst part\nsecond part" for i in range(4))
+    assert all(got[i] == f"body {max(i, 12)}" for i in range(10, 16))  # four different pages: the notice is template still
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta"), (2, None), (3, "short one"), (None, "x y z")], "item_id long, text string")
     texts = TEXTS + ["pre Alpha, beta gamma; delta epsilon zeta eta post", "short one", "short one more"]
