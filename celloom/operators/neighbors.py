@@ -16,22 +16,29 @@ from celloom.session import ship, stored
 BLOCK = 4096
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vec", metric: str = "euclidean", skip_self: bool = True, digits: int = 9) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vec", metric: str = "euclidean", skip_self: bool = True, digits: int = 9, within: str | None = None) -> DataFrame:
     """(query, neighbour, rank, distance): the k nearest points of each query, ties by the smaller id, distances at so many digits.
 
+    With within, a column of points, the k nearest of each of its values but null, in (query, within, neighbour, rank, distance).
+
     Both sides are dealt into blocks by a hash; each pair of blocks is compared by one task, which returns k rows a query.
     """
     ship(points.sparkSession)
     n = max(1, -(-points.count() // BLOCK))
     m = max(1, -(-queries.count() // BLOCK))
     array = F.col(vector).cast("array<double>")
-    left = queries.select(F.col(key).cast("long").alias("i"), array.alias("v"), F.lit(True).alias("q"), F.pmod(F.xxhash64(key), F.lit(m)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    right = points.select(F.col(key).cast("long").alias("i"), array.alias("v"), F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("a"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
+    group = F.lit(0) if within is None else F.col(within)
+    if within is not None:
+        points = points.where(group.isNotNull())
+    kind = points.select(group.alias("g")).schema["g"].dataType
+    left = queries.select(F.col(key).cast("long").alias("i"), array.alias("v"), F.lit(None).cast(kind).alias("g"), F.lit(True).alias("q"), F.pmod(F.xxhash64(key), F.lit(m)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    right = points.select(F.col(key).cast("long").alias("i"), array.alias("v"), group.alias("g"), F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("a"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, ps = pdf[pdf.q], pdf[~pdf.q].sort_values("i")
         if not len(qs) or not len(ps):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64", "distance": "float64"})
+            return pd.DataFrame({"query": [], "g": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64", "distance": "float64"})
+        places = [(value, np.flatnonzero(ps.g == value)) for value in ps.g.unique()]
         x, y, ids = np.stack(qs.v), np.stack(ps.v), ps.i.to_numpy()
         out = []
         for at in range(0, len(x), 256):
@@ -43,16 +50,18 @@ def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector:
             d = np.round(d, digits)
             if skip_self:
                 d[qs.i.to_numpy()[at : at + 256][:, None] == ids[None]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            took = np.take_along_axis(d, order, 1)
-            q = np.repeat(qs.i.to_numpy()[at : at + 256], order.shape[1])
-            out.append(pd.DataFrame({"query": q, "neighbour": ids[order].ravel(), "distance": took.ravel()}))
+            for value, own in places:
+                order = own[np.argsort(d[:, own], axis=1, kind="stable")[:, :k]]
+                took = np.take_along_axis(d, order, 1)
+                q = np.repeat(qs.i.to_numpy()[at : at + 256], order.shape[1])
+                out.append(pd.DataFrame({"query": q, "g": value, "neighbour": ids[order].ravel(), "distance": took.ravel()}))
         found = pd.concat(out)
         return found[np.isfinite(found.distance)]
 
-    near = left.unionByName(right).groupBy("a", "b").applyInPandas(best, "query long, neighbour long, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = left.unionByName(right).groupBy("a", "b").applyInPandas(best, f"query long, g {kind.simpleString()}, neighbour long, distance double")
+    w = Window.partitionBy("query", "g").orderBy("distance", "neighbour")
+    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.drop("g") if within is None else near.withColumnRenamed("g", within)
 
 
 def feature_neighbours(stats: DataFrame, wanted: DataFrame, k: int, digits: int = 9) -> DataFrame:

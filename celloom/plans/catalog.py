@@ -385,6 +385,15 @@ def knn_across_batches(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    """WITH bn AS (SELECT a.vec_id AS query, b.label AS batch, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS rank
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 3) SELECT query, batch, neighbour, rank::INTEGER AS rank FROM bn"""
+)
+def knn_every_batch(spark, sf_dir):
+    held = model.points(spark, sf_dir).withColumnRenamed("label", "batch")
+    return neighbors.knn(held, held, 3, within="batch").select("query", "batch", "neighbour", "rank")
+
+
 _FAR = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
 
 

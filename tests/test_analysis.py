@@ -4,8 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import SF
 
 from celloom.operators import doublets, graphs, markers, motifs, provenance, stats
+from celloom.plans import catalog
+from celloom.sources import model
 
 
 def planted(groups=4, size=12, inside=0.8, between=0.05, seed=1):
@@ -130,3 +133,10 @@ def test_provenance(spark, tmp_path):
     provenance.record(spark, path, "filter_cells", {"min": 4}, 8, 7)
     assert [r.n_after for r in provenance.history(spark, path).collect()] == [8, 7]
     assert provenance.last_params(spark, path, "filter_cells") == {"min": 4} and provenance.last_params(spark, path, "x") is None
+
+
+def test_every_batch_is_searched(spark):
+    found = catalog.queries()["knn_every_batch"](spark, SF).toPandas()
+    points = model.points(spark, SF).toPandas()
+    counts = points.label.value_counts()
+    assert len(found) == sum(min(3, n - (label == own)) for own in points.label for label, n in counts.items())
