@@ -212,6 +212,28 @@ def heatmap_zscore(spark, sf_dir):
     return rounded(normalize.scale_by(_dots(spark, sf_dir), "feat", "mean", "zscore").select("grp", "feat", "scaled"), "scaled")
 
 
+_EVERY_DOT = _DOT.replace(" WHERE feat <= 50", "")
+
+
+def _every_dot(spark, sf_dir):
+    return metrics.dotplot(_infog(spark, sf_dir), model.cells(spark, sf_dir), "grp", "z")
+
+
+@query(f"{_EVERY_DOT} SELECT grp, feat, round(fraction, 6) AS fraction, round(mean, 6) AS mean FROM o")
+def dotplot_every_feature(spark, sf_dir):
+    return rounded(_every_dot(spark, sf_dir), "fraction", "mean")
+
+
+@query(f"{_EVERY_DOT}, r AS (SELECT *, max(mean) OVER (PARTITION BY feat) AS hi, min(mean) OVER (PARTITION BY feat) AS lo FROM o) SELECT grp, feat, round(CASE WHEN hi = lo THEN 0 ELSE (mean - lo) / (hi - lo) END, 6) AS scaled FROM r")
+def dotplot_minmax_every_feature(spark, sf_dir):
+    return rounded(normalize.scale_by(_every_dot(spark, sf_dir), "feat", "mean").select("grp", "feat", "scaled"), "scaled")
+
+
+@query(f"{_EVERY_DOT}, r AS (SELECT *, stddev_samp(mean) OVER (PARTITION BY feat) AS sd, avg(mean) OVER (PARTITION BY feat) AS m FROM o) SELECT grp, feat, round(CASE WHEN sd = 0 THEN 0 ELSE (mean - m) / sd END, 6) AS scaled FROM r")
+def heatmap_zscore_every_feature(spark, sf_dir):
+    return rounded(normalize.scale_by(_every_dot(spark, sf_dir), "feat", "mean", "zscore").select("grp", "feat", "scaled"), "scaled")
+
+
 @query("SELECT label, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2")
 def centroids(spark, sf_dir):
     return rounded(metrics.centroids(model.points(spark, sf_dir), "label", "vec"), "mean")

@@ -140,3 +140,8 @@ def test_every_batch_is_searched(spark):
     points = model.points(spark, SF).toPandas()
     counts = points.label.value_counts()
     assert len(found) == sum(min(3, n - (label == own)) for own in points.label for label, n in counts.items())
+
+
+def test_every_feature_is_in_the_dot_plot(spark):
+    dots = catalog.queries()["dotplot_every_feature"](spark, SF).toPandas()
+    assert set(dots.feat) == {r.feat for r in model.entries(spark, SF).select("feat").distinct().collect()} and dots.feat.max() > 50
