@@ -513,6 +513,15 @@ def ligand_receptor_p(spark, sf_dir):
     return rounded(found.select("ligand", "receptor", "annotation", "sender", "receiver", "p_value", "p_value_fdr"), "p_value", "p_value_fdr")
 
 
+@query()
+def ligand_receptor_p_every_draw(spark, sf_dir):
+    """With the operator's own number of draws; no SQL, tests compare it with brute force."""
+    z = stored(_infog(spark, sf_dir), "infog")
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"), F.col("p_type").alias("annotation"))
+    found = markers.ligand_receptor_p(stored(_cosg(spark, sf_dir, z), "specificity"), pairs, _moments(spark, sf_dir, z))
+    return rounded(found.select("ligand", "receptor", "annotation", "sender", "receiver", "p_value", "p_value_fdr"), "p_value", "p_value_fdr")
+
+
 @query(f"{INFOG}, {_COSG} SELECT feat, grp AS cell_type, round(score, 6) AS score FROM cs WHERE grp IN ('BUILDING', 'FURNITURE') AND score >= 0 ORDER BY round(score, 9) DESC, feat, grp LIMIT 100 OFFSET 20")
 def query_markers(spark, sf_dir):
     records = _cosg(spark, sf_dir).select("feat", F.col("grp").alias("cell_type"), "score")

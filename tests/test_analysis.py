@@ -1,6 +1,7 @@
 import itertools
 import math
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -145,3 +146,27 @@ def test_every_batch_is_searched(spark):
 def test_every_feature_is_in_the_dot_plot(spark):
     dots = catalog.queries()["dotplot_every_feature"](spark, SF).toPandas()
     assert set(dots.feat) == {r.feat for r in model.entries(spark, SF).select("feat").distinct().collect()} and dots.feat.max() > 50
+
+
+def test_ligand_receptor_p_of_all_draws(spark, monkeypatch):
+    rng, feats, groups = np.random.default_rng(5), range(1, 41), ("A", "B")
+    score = {(f, g): float(rng.random()) for f in feats for g in groups}
+    score[1, "A"] = score[2, "B"] = 2.0  # above all others
+    moments = {f: (float(rng.random()), float(rng.random())) for f in feats}
+    specificity = spark.createDataFrame([(f, g, s) for (f, g), s in score.items()], "feat long, grp string, score double")
+    stats_of = spark.createDataFrame([(f, *m) for f, m in moments.items()], "feat long, mean double, var double")
+    monkeypatch.setattr(catalog, "_infog", lambda *_: specificity)
+    monkeypatch.setattr(catalog, "_cosg", lambda *_: specificity)
+    monkeypatch.setattr(catalog, "_moments", lambda *_: stats_of)
+    pairs = spark.createDataFrame([(1, "x"), (7, "y")], "p_partkey long, p_type string")
+    monkeypatch.setattr(catalog, "table", lambda *_: pairs)
+    near = {f: sorted((o for o in feats if o != f), key=lambda o: (round(math.dist([round(x, 9) for x in moments[f]], [round(x, 9) for x in moments[o]]), 9), o))[:30] for f in (1, 2, 7, 8)}
+    pick = lambda *parts: int(md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % 30
+    found = {(r.ligand, r.sender, r.receiver): r.p_value for r in catalog.queries()["ligand_receptor_p_every_draw"](spark, SF).collect()}
+    assert len(found) == 8
+    for (a, sender, receiver), p in found.items():
+        drawn = [(near[a][pick(a, a + 1, i, "ligand", 1927)], near[a + 1][pick(a, a + 1, i, "receptor", 1927)]) for i in range(1000)]
+        value = round(score[a, sender] * score[a + 1, receiver], 12)
+        over = sum(round(score[x, sender] * score[y, receiver], 12) >= value for x, y in drawn)
+        assert p == round((over + 1) / 1001, 6)
+    assert found[1, "A", "B"] < 1 / 21
