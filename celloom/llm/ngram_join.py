@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes pairs of texts, which are verified by the exact Jaccard of their five-word shingles.
+"""N-gram Jaccard join: MinHash banding proposes pairs of texts, which are verified by the exact Jaccard of their five-word shingles.
 
-Each of TREES trees orders the texts by DEPTH MinHash values, a prefix trie as sorted keys. The join starts at the deepest prefix and
-shortens it until pairs at the threshold are expected to share a prefix in some tree with the target recall; texts with equal prefixes
-are candidates. Texts that many trees put together are compared once: buckets with equal members are dropped but for one, and of the
+Each of TREES trees gives a text one key of prefix_length() MinHash values, a number fixed by the threshold and the recall before any
+row is read: the longest at which pairs at the threshold are expected to share a key with that recall. Texts with equal keys are
+candidates. Texts that many trees put together are compared once: buckets with equal members are dropped but for one, and of the
 trees that a pair shares only the first counts it. Large buckets are compared in blocks by many tasks, and what they return is, for
 each text, how many links it has and one link to the smallest member of its connected part, so nothing of quadratic size is written.
 """
