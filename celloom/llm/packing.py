@@ -19,8 +19,6 @@ WINDOW = 1024
 END = 0
 #: Documents and tokens of a shard of the index; a longer document is a shard of its own.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
-#: Terms of a seed that are looked up: those with the most BM25 weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 
@@ -59,7 +57,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of one shard: postings of (document, BM25 weight) by term, and each document's strongest terms."""
+    """The inverted index of one shard: postings of (document, BM25 weight) by term, and each document's distinct terms."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float):
         parts = [np.unique(d, return_counts=True) for d in docs]
@@ -73,15 +71,10 @@ class Index:
         by_term = np.argsort(term, kind="stable")
         self.n, self.doc, self.weight = len(docs), doc[by_term], weight[by_term]
         self.begin = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.terms = []
-        for i in range(len(docs)):
-            own = weight[bounds[i] : bounds[i + 1]]
-            best = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if len(own) > QUERY_TERMS else np.arange(len(own))
-            self.terms.append(term[bounds[i] : bounds[i + 1]][np.sort(best)])
+        self.terms = [t for t, _ in parts]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents that share a term with the seed's strongest, best first, ties by place."""
+        """The unused documents that share a term with the seed, best first, ties by place."""
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.terms[seed]]
         doc = np.concatenate([self.doc[s] for s in spans])
         score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n)

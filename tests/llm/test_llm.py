@@ -138,6 +138,15 @@ def test_packing_is_exact_and_full(spark):
         assert [o for o, _ in own] == list(np.cumsum([0, *[n for _, n in own[:-1]]])) and sum(n for _, n in own) <= packing.WINDOW
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    docs = [np.arange(1, 60), np.arange(200, 230), np.append(np.arange(300, 400), 59), np.append(np.arange(400, 440), np.arange(1, 59))]
+    docs = [d.astype(np.uint16) for d in docs]
+    df = np.ones(1 << 16, np.int64)
+    df[59] = 3  # the seed's term of least weight: the only one it shares with the third document
+    index = packing.Index(docs, df, 4, 70.0)
+    assert list(index.neighbours(0, np.array([False, True, True, True]))) == [3, 2]
+
+
 def test_pii():
     field = pii.train(pii.labelled_table(300), rounds=40)
     texts = ["mail a.b@c.org, call (555) 123-4567 or +1 (555) 123-4567", "version 2.0 of 2019", "", "1.2.3.999 and 10.0.0.1", "4111 1111 1111 1111", "a@b.co_x@c.de"]
