@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of every document, packed into windows.
 
     The ids are made once and stored; the index is sharded by the stored files, a task holding one shard at a time, with document
-    counts over the whole corpus. A null text is an empty document of one id, the end. Rows with equal or null keys are documents of
+    counts over the whole corpus. A seed has neighbours in its own shard only. A null text is an empty document of one id, the end. Rows with equal or null keys are documents of
     their own. Only the last sequence of a shard's file may be short. An empty table gives no pieces.
     """
     spark = docs.sparkSession
