@@ -11,7 +11,7 @@ import oracle
 import pytest
 from conftest import SF
 
-from celloom.llm import decontamination, html, ngram_join, packing, pii, quality, queries, sharding, spotsigs, urls, warc
+from celloom.llm import decontamination, groups, html, ngram_join, packing, pii, quality, queries, sharding, spotsigs, urls, warc
 
 EXTRA = ["lang string", "source string"]
 TEXTS = ["", None, "one", "a b c", "the quick brown fox jumps over the lazy dog and runs away", "x" * 200_000, "word " * 30_000]
@@ -73,7 +73,7 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
 
 
 def test_components_of_stars_and_paths(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+    monkeypatch.setattr(groups, "HOT_ROWS", 5)
     draw = np.random.default_rng(6)
     edges = [(7, 1000 + i) for i in range(300)] + [(i, i + 1) for i in range(2000, 2060)] + [tuple(map(int, draw.integers(3000, 3400, 2))) for _ in range(250)] + [(5000, 5000)]
     root = {n: n for e in edges for n in e}
@@ -83,7 +83,7 @@ def test_components_of_stars_and_paths(spark, monkeypatch):
             root[a] = root[b] = min(root[a], root[b])
         if root == before:
             break
-    found = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    found = groups.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert len(found) == len({r.node for r in found})
     assert {n: n for n in root} | {r.node: r.root for r in found} == root
 
@@ -98,13 +98,67 @@ def test_html_extraction(spark):
     assert got[11].text == "body 1"  # the notice on all of the host's pages is template
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n long"), ["page_id", "url"]).collect()}
+
+
 def test_html_copies_count_as_one_page(spark):
     page = "<html><body><article><h1>Title</h1><p>first part</p><p>second part</p></article></body></html>"
+    bare = "<body><script>{}</script><p>All the same</p><p>second</p></body>"
     plain = "<body><div><p>Same notice</p></div><p>body {}</p></body>"
-    rows = [(i, f"http://a.org/{i}", page) for i in range(4)] + [(i, f"http://b.org/{i}", plain.format(max(i, 12))) for i in range(10, 16)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    rows = [(i, f"http://a.org/{i}", page, "x", 1) for i in range(4)] + [(i, f"http://b.org/{i}", plain.format(max(i, 12)), "x", 1) for i in range(10, 16)]
+    rows += [(20 + i, f"http://c.org/{i}", bare.format(i), None, None) for i in range(3)] + [(20, "http://c.org/0", bare.format(0), None, None)]
+    got = extracted(spark, rows)
     assert all(got[i] == "Title\nfirst part\nsecond part" for i in range(4))
     assert all(got[i] == f"body {max(i, 12)}" for i in range(10, 16))  # four different pages: the notice is template still
+    assert all(got[20 + i] == "All the same\nsecond" for i in range(3))  # copies but for their scripts
+    assert extracted(spark, []) == {}
+
+
+def test_html_templates_decide_where_roles_do_not(spark, monkeypatch):
+    page = "<body><div><ul><li><a>Home</a><li><a>About {0}</a><li><a>News</a></ul></div><div><h2>Title {0}</h2><p>Words of story {0}, long enough.</p></div><div>Made by us</div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i), None, None) for i in range(5)] + [(9, "http://b.org", "<div>" + "<p>long text</p>" * 20_000 + "</div>", None, None)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"Title {i}\nWords of story {i}, long enough." for i in range(5))
+    assert got[9].count("\n") == 19_999
+    parsed = [html.Page(page.format(i)) for i in range(5)]
+    assert all("Made by us" in html.main_text(p, set(), None, set()) for p in parsed)  # without the template
+
+
+def brute_template(pages):
+    """The tokens of a host's template, by vectors and orders of all pages at once."""
+    places = [[t for t in p.tokens] for p in pages]
+    vector = {t: tuple(own.count(t) for own in places) for own in places for t in own}
+    held = {t for t, v in vector.items() if sum(map(bool, v)) >= max(html.LEAST_PAGES, html.LEAST_SHARE * len(pages))}
+    held = {t for t in held if any(u % 2 == 0 and vector[u] == vector[t] for u in held)}
+    before = {}
+    for page, own in zip(pages, places, strict=True):
+        for at, t in enumerate(own):
+            if t in held:
+                alike = [u for u in own if u % 2 == 0 and u in held and vector[u] == vector[t] and (t % 2 or page.parents[u >> 1] == page.parents[t >> 1])]
+                ahead = [u for u in own[:at] if u in alike]
+                before.setdefault(t, set()).add(ahead[-1] if ahead else 0 if t % 2 else alike[-1])
+    return {t for t, own in before.items() if len(own) == 1}
+
+
+def test_html_template_equals_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["<p>one</p>", "<div class='x'><b>two</b></div>", "<ul><li>a<li>b</ul>", "<p>three</p>"]
+    sources = []
+    for i in range(12):
+        own = parts[:2] + rng.sample(parts[2:], rng.randrange(3))
+        sources.append(f"<html><body><nav>n</nav>{''.join(own)}<p>text {i}</p><footer>f</footer></body></html>")
+    held = spark.createDataFrame([(7, s) for s in sources], "host long, html string")
+    found = html.templates(html.representatives(html.skeletons(held, "host", "html"))).collect()
+    assert len(found) == 1 and found[0].of == 12
+    assert set(found[0].template) == brute_template([html.Page(s) for s in sources])
+
+
+def test_html_names_of_frames(spark):
+    cases = [("<article class='related-work'>only</article>", "only"), ("<div class='share-price search'>only</div>", "only"), ("<div class='post-comment-policy'>only</div>", "only")]
+    cases += [("<h1>T</h1><div class='search box'>the long text of the only part here</div>", "T\nthe long text of the only part here"), ("<article><div class='cookie-notice'>no</div><p>yes</p></article>", "yes")]
+    got = extracted(spark, [(i, f"http://h{i}.org", source, None, None) for i, (source, _) in enumerate(cases)])
+    assert [got[i] for i in range(len(cases))] == [text for _, text in cases]
 
 
 def test_decontamination_edges(spark):
