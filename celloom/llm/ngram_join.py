@@ -1,10 +1,15 @@
-"""N-gram Jaccard join: MinHash banding proposes pairs of texts, which are verified by the exact Jaccard of their five-word shingles.
-
-Each of TREES trees gives a text one key of prefix_length() MinHash values, a number fixed by the threshold and the recall before any
-row is read: the longest at which pairs at the threshold are expected to share a key with that recall. Texts with equal keys are
-candidates. Texts that many trees put together are compared once: buckets with equal members are dropped but for one, and of the
-trees that a pair shares only the first counts it. Large buckets are compared in blocks by many tasks, and what they return is, for
-each text, how many links it has and one link to the smallest member of its connected part, so nothing of quadratic size is written.
+"""N-gram Jaccard join: a MinHash LSH forest proposes pairs of texts, which are verified by the exact Jaccard of their five-word shingles.
+
+Each of TREES trees gives a text a signature of DEPTH values of a byte, held as one number, so that prefixes of the signature are its
+leading bytes and the sorted signatures of a tree are a prefix trie. The trie is read level by level, from the longest prefix on:
+texts with equal prefixes are candidates. After each level the similarities of the pairs found so far tell how many pairs such a
+prefix misses (a pair of similarity s is found with a known chance, so one found stands for 1 / chance); the prefix is shortened by a
+value until the share found, among the pairs nearest to the threshold, reaches the target recall.
+
+Texts that many trees or levels put together are compared once: buckets with equal members are dropped but for one, a pair counts at
+the longest prefix and in the first tree that it shares. Large buckets are compared in blocks by many tasks, and what they return is,
+for each text, how many links it has and one link to the smallest member of its connected part, so nothing of quadratic size is
+written.
 """
 
 from __future__ import annotations
@@ -21,25 +26,24 @@ from celloom.llm.words import in_chunks, mix, shingle_sets
 from celloom.session import ship, small, stored
 
 THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.99
+TREES, DEPTH, RECALL = 32, 8, 0.999
+#: The shortest prefix, and how far over the threshold pairs count as near to it.
+LEAST_DEPTH, BAND = 3, 0.05
 #: Texts of a block; a bucket of more is compared block by block.
 BLOCK = 256
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with at least the target recall, or 1."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """That a pair of a similarity shares a prefix of so many values in some tree; different values share a byte once in 256 times."""
+    return 1 - (1 - (similarity + (1 - similarity) / 256) ** depth) ** TREES
 
 
-_SEEDS = mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def forest_keys(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A row of TREES prefix keys of a depth for each text, and the numbers of distinct shingles (0: the keys mean nothing)."""
-    keys, counts = np.zeros((len(texts), TREES), np.int64), np.zeros(len(texts), np.int64)
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of TREES signatures for each text, and the numbers of distinct shingles (0: the signatures mean nothing)."""
+    out, counts = np.zeros((len(texts), TREES), np.uint64), np.zeros(len(texts), np.int64)
     for a, b in in_chunks(texts, 300_000):
         hashes, at = shingle_sets(texts[a:b])
         full = np.flatnonzero(np.diff(at) > 0)
@@ -48,35 +52,42 @@ def forest_keys(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
         begin, low = at[full], (hashes >> np.uint64(32)).astype(np.uint32)
         for i in full:
             counts[a + i] = len(np.unique(hashes[at[i] : at[i + 1]]))
-        for tree in range(TREES):
-            key = np.full(len(full), tree + 1, np.uint64)
-            for d in range(depth):
-                one, two = _SEEDS[2 * (tree * DEPTH + d)], _SEEDS[2 * (tree * DEPTH + d) + 1]
-                drawn = (low ^ np.uint32(one >> np.uint64(32))) * np.uint32((one & np.uint64(0xFFFFFFFF)) | np.uint64(1))
-                drawn = (drawn ^ (drawn >> np.uint32(15))) * np.uint32((two & np.uint64(0xFFFFFFFF)) | np.uint64(1))
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(drawn, begin))
-            keys[a + full, tree] = key.view(np.int64)
-    return keys, counts
+        for k, seed in enumerate(_SEEDS):
+            drawn = (low ^ np.uint32(seed >> np.uint64(32))) * np.uint32((seed & np.uint64(0xFFFFFFFF)) | np.uint64(1))
+            least = np.minimum.reduceat(drawn, begin).astype(np.uint64)
+            out[a + full, k // DEPTH] = (out[a + full, k // DEPTH] << np.uint64(8)) | (mix(least + seed) >> np.uint64(56))
+    return out.view(np.int64), counts
+
+
+def prefixes(rows: np.ndarray, depth: int) -> np.ndarray:
+    return rows.view(np.uint64) >> np.uint64(8 * (DEPTH - depth))
 
 
-def links_in_unit(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tree: int, keys: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its number of links (weighted by copies) to texts of the other side, and the root of its connected part.
+def links_in_unit(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, tree: int, depth: int, rows: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its number of links (weighted by copies) to texts of the other side, and the root of its connected part; and the
+    similarities of the pairs.
 
-    A pair counts if one is in left and the other in right, it shares no tree before this one, and its Jaccard reaches the threshold.
+    A pair counts if one is in left and the other in right, it shares no longer prefix in any tree and this one in none before this
+    tree, and its Jaccard reaches the threshold. rows are the texts' signatures.
     """
     sizes = np.array([len(s) for s in sets])
     at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     flat, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    earlier = prefixes(rows, depth)[:, :tree]
+    longer = prefixes(rows, depth + 1) if depth < DEPTH else rows[:, :0]
     linked = np.zeros((len(sets), len(sets)), bool)
+    found = []
     for i in np.flatnonzero(left):
         marks = np.zeros(len(flat), np.int32)
         marks[ids[at[i] : at[i] + sizes[i]]] = 1
         shared = np.add.reduceat(marks[ids], at)
         good = right & (shared >= threshold * (sizes + sizes[i] - shared) - 1e-9)
         good[i] = False
-        good &= ~(keys[:, :tree] == keys[i, :tree]).any(1)
-        linked[i] |= good
-        linked[:, i] |= good
+        some = np.flatnonzero(good)
+        some = some[~((earlier[some] == earlier[i]).any(1) | (longer[some] == longer[i]).any(1))]
+        new = some[~linked[i, some]]
+        found.append(shared[new] / (sizes[new] + sizes[i] - shared[new]))
+        linked[i, some] = linked[some, i] = True
     root, rest = np.arange(len(sets)), linked.any(1)
     for i in np.flatnonzero(rest):
         if not rest[i]:
@@ -90,44 +101,36 @@ def links_in_unit(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, t
             edge = np.flatnonzero(new)
         root[part] = i
         rest[part] = False
-    return linked @ weight, root
+    return linked @ weight, root, np.concatenate([*found, np.zeros(0)])
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, copy_of, class_id, n_links) for every row of docs.
+#: Bins of similarity from 0 to 1 into which pairs are counted.
+BINS = 400
 
-    copy_of is the least id of the rows with an equal text; class_id is the least id of all rows connected by links; n_links counts
-    the other rows whose texts have a Jaccard of at least the threshold with this one's, copies among them. Texts of one to four
-    words have one shingle, of all their words. Null texts and texts without words link to nothing and are classes of their own,
-    but for equal ones, which are copies. Rows with equal ids and texts are copies. Null ids are kept; they name a class only if
-    none of its ids is known. An empty table gives an empty one.
-    """
+
+def recall_of(counts: dict[int, int], depth: int, threshold: float) -> float:
+    """The estimated share of all pairs that prefixes of a depth find, of those within BAND over the threshold, from counts of the
+    found pairs by bin of similarity; 1 if less than half a pair is missing by estimate."""
+    near = [(n, float(chance((k + 0.5) / BINS, depth))) for k, n in counts.items() if (k + 0.5) / BINS < threshold + BAND]
+    every = sum(n / float(chance((k + 0.5) / BINS, depth)) - n for k, n in counts.items())
+    return 1.0 if every < 0.5 else sum(n for n, _ in near) / sum(n / p for n, p in near) if near else float(chance(threshold, depth))
+
+
+def _links(docs: DataFrame, key: str, text: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(id, h) of every row, and by text (h, n, rep, class_id, keeper, n_links): its rows and least id, the class's least id and
+    whether this is the text that stands for the class."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
-    depth = prefix_length(threshold, TREES, DEPTH, recall)
     held = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.unhex(F.md5("text")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, counts = forest_keys(list(batch.text), depth)
-            yield batch.drop(columns="text").assign(n=counts, keys=list(keys))
-
-    rows = stored(held.mapInPandas(sign, f"id {kind}, h binary, n long, keys array<long>"), "ngram-keys")
-    texts = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys")), "ngram-texts")
+            own, counts = signatures(list(batch.text))
+            yield batch.drop(columns="text").assign(n=counts, signatures=list(own))
 
-    spread = texts.where("n > 0").select("h", F.posexplode("keys").alias("tree", "key"))
-    buckets = spread.groupBy("tree", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("members")).where("m > 1")
-    buckets = stored(buckets.groupBy("m", "members").agg(F.min(F.struct("tree", "key")).alias("b")).select("b.*", "m"), "ngram-buckets")
-    places = stored(spread.join(small(buckets), ["tree", "key"]), "ngram-places")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    units = (
-        places.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", "tree", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    )
-    wanted = small(stored(places.select("h").distinct(), "ngram-wanted"))
+    rows = stored(held.mapInPandas(sign, f"id {kind}, h binary, n long, signatures array<long>"), "ngram-signatures")
+    texts = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "ngram-texts")
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,19 +141,61 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
                 out += [np.unique(hashes[at[i] : at[i + 1]]).tobytes() for i in range(b - a)]
             yield pd.DataFrame({"h": batch.h, "shingles": out})
 
+    found, seen, counts = [], None, {}
+    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
+        buckets, links = _level(held, texts, shingle, seen, depth, threshold)
+        found.append(links.where("h is not null"))
+        for row in links.where("h is null").groupBy("links").agg(F.sum("pairs").alias("n")).collect():
+            counts[row["links"]] = counts.get(row["links"], 0) + row["n"]
+        if recall_of(counts, depth, threshold) >= recall:
+            break
+        seen = buckets if seen is None else seen.unionByName(buckets)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    linked = every.groupBy("h").agg(F.sum("links").alias("links"))
+    roots = components(every, "h", "peer").withColumnRenamed("node", "h")
+    named = stored(texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left"), "ngram-roots")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("unknown"), "rep", F.col("h").alias("first"))).alias("s"), F.count("*").alias("n"))
+    least = stored(least.select("root", F.col("s.rep").alias("class_id"), F.col("s.first").alias("first"), "n"), "ngram-roots")
+    links = F.coalesce("links", F.lit(0)) + F.when(F.col("weight") > 1, F.col("weight") - 1).otherwise(0)
+    named = stored(hot_join(named, least, "root").select("h", F.col("weight").alias("n"), "rep", "class_id", (F.col("h") == F.col("first")).alias("keeper"), links.alias("n_links")), "ngram-classes")
+    return rows.select("id", "h"), named
+
+
+def _level(held: DataFrame, texts: DataFrame, shingle, seen: DataFrame | None, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The buckets (m, members) of prefixes of a depth that no longer prefix had, and the stored links of their pairs: (h, peer, links,
+    pairs), and with a null h for each bin of similarity (links) the number of pairs."""
+    spread = texts.where("n > 0").select("h", F.posexplode("signatures").alias("tree", "key")).withColumn("key", F.shiftrightunsigned("key", 8 * (DEPTH - depth)))
+    buckets = spread.groupBy("tree", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("members")).where("m > 1")
+    buckets = buckets.groupBy("m", "members").agg(F.min(F.struct("tree", "key")).alias("b")).select("b.*", "m", "members")
+    buckets = stored(buckets if seen is None else buckets.join(seen, ["m", "members"], "left_anti"), "ngram-buckets")
+    places = stored(spread.join(small(buckets.drop("members")), ["tree", "key"]), "ngram-places")
+    units = (
+        places.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("h", "tree", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    )
+    wanted = small(stored(places.select("h").distinct(), "ngram-wanted"))
     sets = held.join(wanted, "h", "left_semi").select("h", "text").dropDuplicates(["h"]).mapInPandas(shingle, "h binary, shingles binary")
-    facts = sets.join(texts.select("h", "weight", "keys"), "h")
-    dealt = units.join(facts, "h").repartition("tree", "key", "lo", "hi").sortWithinPartitions("tree", "key", "lo", "hi", "h")
+    facts = sets.join(texts.select("h", "weight", "signatures"), "h")
+    # a bucket's units are dealt one after the other, so that no task gets two of a large one while another has none
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.xxhash64("tree", "key") % parts + (F.col("hi") * (F.col("hi") + 1) / 2).cast("long") + F.col("lo"), F.lit(parts)).cast("int")
+    dealt = units.join(facts, "h").repartitionById(parts, place).sortWithinPartitions("tree", "key", "lo", "hi", "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, members, out = None, [], []
+        names = ["h", "peer", "links", "pairs"]
+        unit, members, out, pairs = None, [], [], np.zeros(BINS, np.int64)
 
         def close():
             tree, _, lo, hi = unit
             own = np.array([x[0] for x in members])
             sets = [np.frombuffer(x[2], np.uint64) for x in members]
-            links, root = links_in_unit(sets, own == lo, own == hi, tree, np.array([x[3] for x in members]), np.array([x[4] for x in members]), threshold)
-            out.extend((members[i][1], members[root[i]][1], int(links[i])) for i in np.flatnonzero(links > 0))
+            links, root, similar = links_in_unit(sets, own == lo, own == hi, tree, depth, np.array([x[3] for x in members]), np.array([x[4] for x in members]), threshold)
+            out.extend((members[i][1], members[root[i]][1], int(links[i]), None) for i in np.flatnonzero(links > 0))
+            np.add.at(pairs, np.minimum((similar * BINS).astype(int), BINS - 1), 1)
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -159,30 +204,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
                     if len(members) > 1:
                         close()
                     unit, members = now, []
-                members.append((row.own, row.h, row.shingles, row.keys, row.weight))
+                members.append((row.own, row.h, row.shingles, row.signatures, row.weight))
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=["h", "peer", "links"])
+                yield pd.DataFrame(out, columns=names).astype({"pairs": "Int64"})
                 out = []
         if len(members) > 1:
             close()
-        yield pd.DataFrame(out, columns=["h", "peer", "links"])
+        out.extend((None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs))
+        yield pd.DataFrame(out, columns=names).astype({"pairs": "Int64"})
 
-    found = stored(dealt.mapInPandas(verify, "h binary, peer binary, links long"), "ngram-links")
-    linked = found.groupBy("h").agg(F.sum("links").alias("links"))
-    roots = components(found, "h", "peer").withColumnRenamed("node", "h")
-    named = stored(texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left"), "ngram-roots")
-    least = stored(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "ngram-roots")
-    named = stored(hot_join(named, least, "root").select("h", F.col("weight").alias("n"), "rep", "class_id", (F.coalesce("links", F.lit(0)) + F.when(F.col("weight") > 1, F.col("weight") - 1).otherwise(0)).alias("n_links")), "ngram-classes")
-    return hot_join(rows.select("id", "h"), named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links")
+    return buckets.select("m", "members"), stored(dealt.mapInPandas(verify, "h binary, peer binary, links long, pairs long"), "ngram-links")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(key, copy_of, class_id, n_links) for every row of docs.
+
+    copy_of is the least id of the rows with an equal text; class_id is the least id of all rows connected by links; n_links counts
+    the other rows whose texts have a Jaccard of at least the threshold with this one's, copies among them. Texts of one to four
+    words have one shingle, of all their words; texts of any length are read whole. Null texts and texts without words link to
+    nothing and are classes of their own, but for equal ones, which are copies. Rows with equal ids and texts are copies, and so are
+    rows with equal texts and other ids; rows with equal ids and other texts are texts of their own. Null ids are kept; they name a
+    class only if none of its ids is known. An empty table gives an empty one. Other columns are ignored.
+    """
+    rows, named = _links(docs, key, text, threshold, recall)
+    return hot_join(rows, named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which each group of linked or equal texts keeps the one with the least id.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, all columns, of which each group of linked or equal texts keeps the one with the least id (nulls last).
 
-    Of rows with the same least id and the same text one is kept; rows with null ids stay, as nothing tells them apart.
+    Rows with equal ids and other texts are told apart by their texts; of rows with the same id and the same text one is kept.
     """
-    classes = join(docs, key, text)
-    gone = stored(classes.where(F.col(key) != F.col("class_id")).select(key).distinct(), "ngram-dropped")
-    kept = docs.join(small(gone), key, "left_anti").select(docs.columns)
-    counts = kept.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([key, text]) if counts else kept
+    rows, named = _links(docs, key, text, threshold, recall)
+    same = stored(rows.groupBy("id", "h").agg(F.count("*").alias("times")).withColumn("n", F.lit(1)), "ngram-rows")
+    judged = hot_join(same.drop("n"), named, "h").withColumn("stays", F.col("keeper") & F.col("id").eqNullSafe(F.col("rep")))
+    judged = stored(judged.select("id", "h", "times", "stays").where("not stays or times > 1"), "ngram-judged")
+    marked = docs.withColumn("__h", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    on = lambda t: marked[key].eqNullSafe(t["id"]) & (marked["__h"] == t["h"])
+    gone, repeated = (small(judged.where(test).select("id", "h")) for test in ("not stays", "stays"))
+    once = judged.where("stays").limit(1).count()
+    kept = marked.join(gone, on(gone), "left_anti")
+    if once:
+        marked = kept
+        kept = marked.join(repeated, on(repeated), "left_anti").unionByName(marked.join(repeated, on(repeated), "left_semi").dropDuplicates([key, "__h"]))
+    return kept.select(docs.columns)

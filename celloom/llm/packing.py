@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from celloom.llm.tokens import Encoder
+from celloom.llm.words import mix
 from celloom.session import ship, stored
 
 WINDOW = 1024
@@ -19,26 +20,54 @@ WINDOW = 1024
 END = 0
 #: Documents and tokens of a shard of the index; a longer document is a shard of its own.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
+#: Terms drawn for a document's place in the corpus.
+PLACES = 4
 K1, B = 1.2, 0.75
 
 
+def _draws() -> np.ndarray:
+    """A cost of each id for each of PLACES draws: exponential, by a weight that rises with the id, as ids of rare pieces are high."""
+    ids = np.arange(1 << 16, dtype=np.uint64)
+    seeds = mix(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    uniform = ((mix((ids[None] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) ^ seeds[:, None]) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return -np.log(uniform) / np.log(2 + ids.astype(float) / 256) ** 2
+
+
+def places(docs: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
+    """A number for each document whose order brings alike ones together: the drawn terms' hashes, 16 bits each, first draw first.
+
+    Two documents draw the same term with a chance of their weighted Jaccard, so documents that share many rare terms share leading
+    bits, and copies share all.
+    """
+    parts = [np.unique(d) for d in docs]
+    begin = np.cumsum([0, *map(len, parts[:-1])])
+    terms = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+    out = np.zeros(len(docs), np.uint64)
+    for costs in draws if len(docs) else ():
+        own = costs[terms]
+        first = np.flatnonzero(own == np.repeat(np.minimum.reduceat(own, begin), [len(p) for p in parts]))
+        drawn = terms[first[np.searchsorted(first, begin)]].astype(np.uint64)
+        out = (out << np.uint64(16)) | (mix(drawn + np.uint64(1)) >> np.uint64(48))
+    return out.view(np.int64)
+
+
 def tokenized(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
-    """(key, ids, kind): a row of kind "doc" a document with its 16-bit ids, END included, and a row of kind "df" a task and batch of
-    its document frequencies, (term, count) pairs of 64 bits."""
+    """(key, ids, place, kind): a row of kind "doc" a document with its 16-bit ids, END included, and its place among the others, and
+    a row of kind "df" a task of its document frequencies, (term, count) pairs of 64 bits."""
     ship(docs.sparkSession)
     held = docs.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, df = Encoder.at(path), np.zeros(1 << 16, np.int64)
+        encoder, df, draws = Encoder.at(path), np.zeros(1 << 16, np.int64), _draws()
         for batch in batches:
             ids = [np.append(x, np.uint16(END)) for x in encoder.encode(list(batch.text))]
             for x in ids:
                 df[np.unique(x)] += 1
-            yield pd.DataFrame({"key": batch.key, "ids": [x.tobytes() for x in ids], "kind": "doc"})
+            yield pd.DataFrame({"key": batch.key, "ids": [x.tobytes() for x in ids], "place": places(ids, draws), "kind": "doc"})
         terms = np.flatnonzero(df)
-        yield pd.DataFrame({"key": [None], "ids": [np.stack([terms, df[terms]], 1).tobytes()], "kind": ["df"]})
+        yield pd.DataFrame({"key": [None], "ids": [np.stack([terms, df[terms]], 1).tobytes()], "place": [0], "kind": ["df"]})
 
-    return held.mapInPandas(run, "key string, ids binary, kind string")
+    return held.mapInPandas(run, "key string, ids binary, place long, kind string")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -135,9 +164,12 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, total: int, mean: float,
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of every document, packed into windows.
 
-    The ids are made once and stored; the index is sharded by the stored files, a task holding one shard at a time, with document
-    counts over the whole corpus. A seed has neighbours in its own shard only. A null text is an empty document of one id, the end. Rows with equal or null keys are documents of
-    their own. Only the last sequence of a shard's file may be short. An empty table gives no pieces.
+    The ids are made once and stored, then the documents are dealt by content: in the order of their places(), whatever their files,
+    alike documents lie together. Stretches of this order are the shards of the index, of which a task holds one at a time, with
+    document counts over the whole corpus. A seed has neighbours in its own shard only. A null text is an empty document of one id,
+    the end. Rows with equal or null keys are documents of their own; equal texts lie side by side, over several shards where they
+    are many. Documents of any length are packed whole. Only the last sequence of a shard may be short. An empty table gives no
+    pieces. Other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
@@ -177,5 +209,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         if rows:
             yield flush()
 
-    pieces = held.where("kind = 'doc'").select("key", "ids").mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count[0] // (4 * SHARD_DOCS)))
+    parts = max(1, min(parts, count[0] // SHARD_DOCS))
+    order = ["place", F.xxhash64("key", "ids")]
+    dealt = held.where("kind = 'doc'").select("key", "ids", "place").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    pieces = dealt.select("key", "ids").mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.select(F.col("key").cast(kind).alias(key), *names[1:])

@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds the spans they miss.
 
-The field is trained from a small labelled table of token sequences and decoded by Viterbi in numpy, many windows at once. Only tokens
-with a digit or an @ can be part of what it looks for, so it reads each such token with the words around it; the rest of a text is
-outside by definition.
+The field is trained from a small table of sentences labelled by hand (pii_table) and decoded by Viterbi in numpy, many windows at once.
+Only tokens with a digit or an @ can be part of what it looks for, so it reads each such token with the words around it; the rest of a
+text is outside by definition.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from celloom.llm.pii_table import labelled_table
 from celloom.session import ship
 
 #: The kinds in the order in which spans are listed.
@@ -32,8 +33,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ACTIVE = re.compile(r"\S*[0-9@]\S*")
+_WORD, _HINT = re.compile(r"\S+"), re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_NUMERIC = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -76,24 +78,49 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def shape(word: str) -> str:
-    """Digits as 9, letters as a or A, runs of over four shortened, other characters as they are; of long words the first 40 characters and the length class."""
-    plain = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:40])
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", plain) + ("~" if len(word) > 40 else "")
+    """Digits as 9, letters as a or A, runs of over four shortened, other characters as they are."""
+    plain = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", plain)
 
 
 #: Words before personal data, whose presence is a feature.
-CUES = frozenset("call phone tel telephone mobile fax ring dial contact card visa amex mastercard payment account ip host address server email mail e-mail write version isbn id no order invoice page room year price".split())
+CUES = frozenset("call phone tel telephone telefon mobile cell portable hotline reach text sms an llame fax ring dial contact card visa amex mastercard payment account ip host address server email mail e-mail write version isbn id no order invoice page room year price".split())
+
+
+def _near(words: list[str], shapes: list[str], i: int) -> str:
+    """The shape of a word with a digit or an @; any other one is plain, also if there is none."""
+    return shapes[i] if 0 <= i < len(words) and _HINT.search(words[i]) else "plain"
+
+
+def _digit_runs(words: list[str]) -> list[list[str]]:
+    """For each word, what neighbours of digits and separators alone have together with it: words, digits, the check digit's fit."""
+    bare = [bool(_NUMERIC.fullmatch(w.strip(".,;:!?*#$%&"))) for w in words]
+    out: list[list[str]] = [[] for _ in words]
+    i = 0
+    while i < len(words):
+        end = i
+        while end < len(words) and bare[end]:
+            end += 1
+        if end > i:
+            digits = _NOT_DIGIT.sub("", "".join(words[i:end]))
+            fits = 13 <= len(digits) <= 19 and luhn(digits)
+            for k in range(i, end):
+                out[k] = [f"run={min(end - i, 6)}", f"all={min(len(digits), 20)}", f"sum={'short' if len(digits) < 7 else 'phone' if len(digits) < 13 else 'card' if len(digits) < 20 else 'long'}", f"fits={fits}", f"first={k == i}"]
+        i = max(end, i + 1)
+    return out
 
 
 def features(words: list[str]) -> list[list[str]]:
     shapes = [shape(w) for w in words]
+    runs = _digit_runs(words)
     lowers = [w.lower().strip(".,:;()") for w in words]
     out = []
     for i, w in enumerate(words):
         digits = sum(c.isdigit() for c in w)
         own = ["bias", f"s={shapes[i]}", f"d={min(digits, 16)}", f"core={shape(w.strip('.,;:!?*#$%&'))}", f"at={'@' in w}", f"dots={min(w.count('.'), 4)}", f"dash={min(w.count('-'), 4)}"]
-        own += [f"p={shapes[i - 1]}" if i else "p=^", f"n={shapes[i + 1]}" if i + 1 < len(words) else "n=$"]
-        own += [f"cue{k}={lowers[i - k]}" for k in (1, 2) if i >= k and lowers[i - k] in CUES]
+        own += [f"p={_near(words, shapes, i - 1)}", f"n={_near(words, shapes, i + 1)}", f"few={digits < 7}", f"rare={bool(re.search('[^0-9A-Za-z@.()+ -]', w.strip('.,;:!?*#$%&')))}"]
+        own += [f"c={re.sub(r'(.)\\1+', r'\\1', own[3])}", f"ends={shapes[i][:1]}{w[:1] in '(+0'}", *runs[i]]
+        own += [f"cue={lowers[i - k]}" for k in (1, 2, 3) if i >= k and lowers[i - k] in CUES]
         if not any(c.isdigit() or c == "@" for c in w):
             own = ["plain"]
         out.append(own)
@@ -154,7 +181,7 @@ _START = np.array([_NEVER if n.startswith("I-") else 0.0 for n in LABELS])
 _ALLOWED = np.array([[_NEVER if b.startswith("I-") and a[2:] != b[2:] else 0.0 for b in LABELS] for a in LABELS])
 
 
-def train(examples: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> Field:
+def train(examples: list[tuple[list[str], list[str]]], rounds: int = 150, rate: float = 0.3, ridge: float = 1e-2) -> Field:
     """The field of the highest penalised likelihood that `rounds` steps of AdaGrad reach; without examples nothing is ever found."""
     examples = [e for e in examples if e[0]]
     names: dict[str, int] = {}
@@ -204,66 +231,29 @@ def train(examples: list[tuple[list[str], list[str]]], rounds: int = 60, rate: f
     return Field(names, unary, pairs)
 
 
-def labelled_table(sentences: int = 600, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """A small labelled table made by rule: sentences of words with one or two spans of personal data or with look-alikes."""
-    rng = np.random.default_rng(seed)
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
-
-    def span(kind: str) -> tuple[list[str], list[str]]:
-        if kind == "email":
-            words = [rng.choice([f"{letters(5)}.{digits(2)}@{letters(6)}.com", f"{letters(4)}@{letters(5)}.org", f"{letters(3)}@{letters(4)}.{letters(3)}.net", f"{letters(6)}@localhost"])]
-        elif kind == "ip":
-            words = [".".join(str(x) for x in rng.integers(0, 256, 4))]
-        elif kind == "card":
-            gap = rng.choice([" ", "-", ""])
-            words = gap.join(digits(4) for _ in range(4)).split(" ")
-        else:
-            a, b, c = digits(3), digits(3), digits(4)
-            words = str(rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"0{digits(3)}/{digits(6)}"])).split(" ")
-        return words, [f"{'I' if i else 'B'}-{kind}" for i in range(len(words))]
-
-    def other() -> str:
-        return str(rng.choice([str(rng.integers(1900, 2031)), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"${digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", digits(int(rng.integers(1, 9))), f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{letters(2)}{digits(3)}", f"v{digits(1)}.{digits(2)}", f"{digits(2)}%", f"@{letters(6)}", f"{digits(3)},{digits(3)}", f"#{digits(4)}", f"{letters(4).upper()}{digits(12)}", f"{digits(1)}{letters(8)}{digits(4)}"]))
-
-    out = []
-    for k in range(sentences):
-        words, labels = [], []
-        for _ in range(int(rng.integers(1, 4))):
-            plain = [letters(int(rng.integers(1, 9))) for _ in range(int(rng.integers(0, 4)))]
-            if rng.random() < 0.25:
-                plain.append(str(rng.choice(sorted(CUES))))
-            words += plain
-            labels += ["O"] * len(plain)
-            if rng.random() < 0.5:
-                words.append(other())
-                labels.append("O")
-            else:
-                w, own = span(KINDS[int(rng.integers(0, 4))])
-                if rng.random() < 0.3:
-                    w[-1] += str(rng.choice([".", ",", "***", "###", "%%%", "&&&", "$$$", "!!"]))
-                words += w
-                labels += own
-        out.append((words, labels))
+def windows(text: str) -> list[list[tuple[int, int]]]:
+    """The words that are read: those with a digit or an @ and AROUND words on either side, in runs that touch or overlap."""
+    if not _HINT.search(text):
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    out: list[list[tuple[int, int]]] = []
+    end = 0
+    for i, (a, b) in enumerate(words):
+        if _HINT.search(text, a, b):
+            if not out or i - AROUND > end:
+                out.append([])
+                end = max(i - AROUND, 0)
+            upto = min(i + AROUND + 1, len(words))
+            out[-1] += words[end:upto]
+            end = max(end, upto)
     return out
 
 
 def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]], field: Field) -> list[dict[str, list[tuple[int, int]]]]:
     """Spans that the field finds and no base span touches; each must still have the digits or the @ of its kind."""
-    spots, windows = [], []
-    for i, text in enumerate(texts):
-        found = [(m.start(), m.end()) for m in _ACTIVE.finditer(text)]
-        run: list[tuple[int, int]] = []
-        for k, (start, end) in enumerate(found):
-            if not run:
-                run = _before(text, start, spots[-1][1][-1][1] if spots and spots[-1][0] == i else 0)
-            run.append((start, end))
-            if k + 1 == len(found) or text[end : found[k + 1][0]].strip() or found[k + 1][0] - end > 3:
-                spots.append((i, run))
-                windows.append([text[a:b] for a, b in run])
-                run = []
+    spots = [(i, run) for i, text in enumerate(texts) for run in windows(text)]
     out: list[dict[str, list[tuple[int, int]]]] = [{k: [] for k in KINDS} for _ in texts]
-    for (i, run), labels in zip(spots, field.decode(windows), strict=True):
+    for (i, run), labels in zip(spots, field.decode([[texts[i][a:b] for a, b in run] for i, run in spots]), strict=True):
         taken = [s for own in base[i].values() for s in own if s[0] < run[-1][1] and s[1] > run[0][0]]
         k = 0
         while k < len(run):
@@ -279,19 +269,6 @@ def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]],
     return out
 
 
-def _before(text: str, start: int, free: int) -> list[tuple[int, int]]:
-    """Up to AROUND words before a place, not reaching back over free; a word of over 60 characters ends the window."""
-    found, at = [], start
-    while len(found) < AROUND:
-        low = max(free, at - 80)
-        m = re.search(r"(?<!\S)(\S{1,60})\s{1,20}\Z", text[low:at])
-        if not m or low > 0 and m.start(1) == 0 and not text[low - 1].isspace():
-            break
-        found.append((low + m.start(1), low + m.end(1)))
-        at = low + m.start(1)
-    return found[::-1]
-
-
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     while end > start and not (text[end - 1].isalnum() and text[end - 1].isascii()):
         end -= 1

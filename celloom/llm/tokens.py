@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 
@@ -38,8 +39,11 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         as_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token) and token != "<|endoftext|>"}
+            told = json.load(f)
+        vocabulary = told["model"]["vocab"]
+        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        ranks = {bytes(as_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in as_byte for c in token) and token not in self.special}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kinds = np.zeros(sys.maxunicode + 1, np.uint8)
         for c in range(sys.maxunicode + 1):
@@ -50,7 +54,13 @@ class Encoder:
         self.kept: dict[int, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each whole text, as 16-bit numbers."""
+        """The ids of each whole text, as 16-bit numbers. The text of a special token is its id, and parts the text around it."""
+        if any(self.special_at.search(t) for t in texts):
+            parts = [self.special_at.split(t) for t in texts]
+            whole = self.encode([x for own in parts for x in own])
+            ends = np.cumsum([len(own) for own in parts])
+            between = ([[self.special[x]] for x in self.special_at.findall(t)] + [[]] for t in texts)
+            return [np.concatenate([np.asarray(x, np.uint16) for pair in zip(whole[e - len(own) : e], gaps, strict=True) for x in pair]) for own, e, gaps in zip(parts, ends, between, strict=True)]
         out: list[np.ndarray] = []
         for a, b in in_chunks(texts, 400_000):
             out += self._encode(texts[a:b])

@@ -60,9 +60,55 @@ def test_ngram_join_counts_links_and_keeps_one(spark):
     assert got[len(texts) - 4].n_links == 2 and got[len(texts) - 1].n_links == 0  # null reads as empty, and equal empty texts are copies
     kept = {r.doc_id for r in ngram_join.keep_first(docs(spark, texts)).collect()}
     assert kept == {got[i].class_id for i in got}
+    odd = {(r.doc_id, r.copy_of, r.class_id, r.n_links) for r in ngram_join.join(docs(spark, ["p q r s t u", "p q r s t u", "other words", "p q r s t u"], [None, 4, 4, None])).collect()}
+    assert odd == {(None, 4, 4, 2), (4, 4, 4, 2), (4, 4, 4, 0)}
     assert ngram_join.join(docs(spark, texts).limit(0)).count() == 0
 
 
+def five(t):
+    w = t.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_ngram_join_finds_pairs_at_the_threshold(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        base = " ".join("w%d" % rng.randrange(9000) for _ in range(300))
+        texts += [base, near(base, rng, rng.choice([5, 6, 6, 7]))]
+    sets = [five(t) for t in texts]
+    want = {i for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert 60 < len(want) < 150
+    read = []
+    told = ngram_join.recall_of
+    monkeypatch.setattr(ngram_join, "recall_of", lambda c, d, t: read.append(d) or min(told(c, d, t), 0.9 if d > 6 else 1.0))
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs(spark, texts)).collect() if r.n_links and r.doc_id % 2 == 0}
+    assert set(got) <= want and len(got) >= 0.99 * len(want)
+    assert read == [8, 7, 6] and set(got.values()) == {1}  # prefixes got shorter; no pair counts twice
+
+
+def test_forest_prefixes_and_recall():
+    rng = random.Random(2)
+    own, counts = ngram_join.signatures(["a b c d e f g", "a b c d e f g", "", "x " * 200_000, *(" ".join("v%d" % rng.randrange(99) for _ in range(50)) for _ in range(20))])
+    assert (own[0] == own[1]).all() and list(counts[:4]) == [3, 3, 0, 1]
+    for d in range(1, 9):
+        assert (ngram_join.prefixes(own, d) == (own.view(np.uint64) >> np.uint64(64 - 8 * d))).all()
+    assert len(np.unique(own[:, 0] & 255)) > 10
+    assert ngram_join.recall_of({}, 8, 0.8) == 1.0 and ngram_join.recall_of({396: 10**6}, 8, 0.8) == 1.0
+    assert ngram_join.recall_of({321: 1000}, 8, 0.8) < 0.999 < ngram_join.recall_of({321: 1000}, 6, 0.8)
+
+
+def test_keep_first_tells_rows_apart(spark):
+    a, b = "one two three four five six", "nothing alike in these words here"
+    kept = lambda texts, ids: sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs(spark, texts, ids)).collect()), key=repr)
+    assert kept([a, a, b], [1, 5, 5]) == [(1, a), (5, b)]
+    assert kept([a, a, b, b, b], [1, 1, None, None, 7]) == [(1, a), (7, b)]
+    assert kept([a, a, None, None], [None, None, 3, 4]) == [(3, None), (None, a)]
+    assert kept([], []) == []
+    long = "w " * 100_000
+    assert kept([long, long + "w", a], [2, 1, 1]) == [(1, a), (1, long + "w")]
+
+
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     rng = random.Random(5)
@@ -173,8 +219,7 @@ def test_packing_is_exact_and_full(spark):
     from tokenizers import Tokenizer
 
     told = Tokenizer.from_file(queries.tokenizer())
-    told.encode_special_tokens = True
-    texts = ["it's  here\n\n now", "", None, "<|endoftext|> 12ab", "Ähm 日本 x " * 400, "plain words here " * 900, *("doc number %d " % i * 20 for i in range(60))]
+    texts = ["it's  here\n\n now", "", None, "<|endoftext|> 12ab", "a<|endoftext|><|endoftext|>", "it's <|endoftext|>x", "Ähm 日本 x " * 400, "plain words here " * 900, *("doc number %d " % i * 20 for i in range(60))]
     got = packing.pack(docs(spark, texts), queries.tokenizer()).collect()
     pieces = {}
     for r in got:
