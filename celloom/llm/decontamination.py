@@ -1,25 +1,28 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in Spark SQL functions only.
 
-A test item's sketch is the k of its shingles with the smallest hashes. A document that contains a share t of the item's shingles
-contains about t of its sketch, however long the document is, so a document is a candidate for an item if it holds enough of the
-sketch. Items are partitioned by size: k and the least number of hits depend on the partition alone (SIZES). Candidates are then
-verified by the exact share of the item's shingles, compared as strings.
+A test item's sketch is the k of its shingles with the smallest hashes. Documents are not sketched, as a sketch of a long document
+would not show a short item: each of their shingles looks for items whose sketch has it. Items are partitioned by size, each partition
+up to twice the size of the one before: k and the least number of hits depend on the partition alone. A document that contains a share
+t of an item misses at most (1 - t) of the partition's greatest size, so one with fewer hits than k less this number is no candidate,
+and no other is lost. Candidates are then verified by the exact share of the item's shingles, compared as strings.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celloom.llm.groups import hot_join
 from celloom.llm.words import SEPARATOR, SHINGLE
 from celloom.session import small, stored
 
-#: (fewest shingles of an item, size of its sketch). Items of up to 16 shingles are in their sketch whole.
-SIZES = [(1, 16), (64, 24), (512, 32)]
+#: The smallest sketch; items of no more shingles are in theirs whole.
+LEAST_SKETCH = 16
 THRESHOLD = 0.8
+#: Most items quoted by very many documents whose shingles are broadcast.
+ITEMS = 10_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,9 +49,15 @@ def shingle_hashes(text: Column) -> Column:
     return let(words(text), lambda own: F.array_distinct(F.transform(_starts(own), lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(SHINGLE)]))))
 
 
-def _need(k: int, threshold: float) -> int:
-    """Hits of k that a document at the threshold has but for four standard deviations (a chance of about 3 in 100,000)."""
-    return max(1, math.floor(k * threshold - 4 * math.sqrt(k * threshold * (1 - threshold))))
+def sketch_sizes(n: Column, threshold: float) -> tuple[Column, Column]:
+    """(k, hits that a candidate needs) of an item of n shingles, by the partition of sizes from a power of two to the next.
+
+    k is at least twice what a document at the threshold may lack, so that a candidate has over half of the sketch.
+    """
+    largest = F.pow(F.lit(2.0), F.length(F.bin(n))) - 1
+    lacking = F.floor(largest * F.lit(1 - threshold) + 1e-6).cast("int")
+    k = F.least(n, F.greatest(F.lit(LEAST_SKETCH), 2 * lacking))
+    return k, F.greatest(F.lit(1), k - lacking)
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -57,17 +66,14 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: s
 
     Texts are lower-cased and split at SEPARATOR. An item of one to four words is one shingle, which only a text of just these words
     has; items and texts without words (null, empty) match nothing. Rows with a null id are left out. Of repeated ids the best row
-    counts, and a pair comes once. Empty tables give an empty one. Other columns are ignored.
+    counts, and a pair comes once. Texts and items of any length are read whole. Empty tables give an empty one. Other columns are
+    ignored.
     """
     told = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("__item"), F.col(item_text).alias("w"))
     told = told.select("__item", shingles(F.col("w")).alias("item_shingles"), shingle_hashes(F.col("w")).alias("h")).where(F.size("h") > 0)
     told = stored(told.withColumn("__row", F.monotonically_increasing_id()), "benchmark-items")
     n = F.size("h")
-    k = F.lit(SIZES[0][1])
-    need = F.lit(_need(SIZES[0][1], threshold))
-    for least, size in SIZES[1:]:
-        k, need = F.when(n >= least, size).otherwise(k), F.when(n >= least, _need(size, threshold)).otherwise(need)
-    need = F.when(n <= SIZES[0][1], F.ceil(n * F.lit(threshold) - 1e-9).cast("int")).otherwise(need)
+    k, need = sketch_sizes(n, threshold)
     sketch = stored(told.select("__item", "__row", need.alias("need"), F.explode(F.slice(F.array_sort("h"), 1, k)).alias("h")), "benchmark-sketches")
     held = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("__doc"), F.col(text).alias("__text"))
     hits = held.select("__doc", F.explode(shingle_hashes(F.col("__text"))).alias("h")).join(small(sketch), "h")
@@ -75,9 +81,9 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: s
     pairs = stored(pairs, "benchmark-candidates")
     docs_hit = small(stored(pairs.select("__doc").distinct(), "benchmark-candidate-documents"))
     texts = held.join(docs_hit, "__doc", "left_semi").select("__doc", shingles(F.col("__text")).alias("doc_shingles"))
+    wanted = told.select("__item", "__row", "item_shingles").join(pairs.groupBy("__row").agg(F.count("*").alias("n")), "__row")
     exact = (
-        texts.join(pairs, "__doc")
-        .join(small(told.select("__item", "__row", "item_shingles"), 10_000), "__row")
+        hot_join(texts.join(pairs, "__doc"), stored(wanted, "benchmark-wanted"), "__row", ITEMS)
         .select("__doc", "__item", F.size(F.array_intersect("doc_shingles", "item_shingles")).alias("n_shared"), F.size("item_shingles").alias("n_item"))
         .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from celloom.llm.words import in_chunks, word_hashes
-from celloom.session import ship, stored
+from celloom.session import ship, small, stored
 
 #: Most labelled rows that a fit uses: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
@@ -173,7 +173,8 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """(key, held_out, score, predicted) for every row. Only rows whose crc32(key as text) mod 3 is not 1 teach the trees.
 
     The statistics are made once, in one pass over the texts, and stored; only they meet the labels. A null key is held out and
-    never teaches. Repeated rows get equal scores. Null texts are scored as empty ones.
+    never teaches. Repeated rows get equal scores. Null texts are scored as empty ones; texts of any length are read whole. Without
+    labels every score is 0.5. Empty documents give an empty table.
     """
     spark = docs.sparkSession
     held = with_statistics(docs, [key], text)
@@ -191,11 +192,16 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not reject. Rows with a null key are judged by their text alike."""
+    """The rows of docs, all columns, that the classifier does not reject.
+
+    Only labelled rows are read to fit it, then every row is judged by its whole text. Rows with a null key are judged by their text
+    alike, null texts as empty ones; repeated rows stay or go together. Without labels nothing is rejected; an empty table gives an
+    empty one.
+    """
     spark = docs.sparkSession
     ship(spark)
-    held = stored(with_statistics(docs, [key], text), "quality-statistics")
-    teach = held.where(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1)
+    told = small(stored(labels.select(key).where(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).distinct(), "quality-labelled"))
+    teach = stored(with_statistics(docs.join(told, key, "left_semi"), [key], text), "quality-statistics")
     model = spark.sparkContext.broadcast(train(teach, labels, key, label))
     schema = docs.schema
     whole = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__t"))

@@ -59,7 +59,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scheme = folder.partition("://")[0] + "://" if "://" in folder else "file://"
     written = stored(warc.write(warc.plan_records(table(spark, sf_dir, "pages")), folder), "warc-files")
     files = written.select(F.concat(F.lit(scheme), "file").alias("file")).repartition(max(1, min(written.count(), 10_000)))
-    back = warc.read(spark, files).where("kind != 'gap'")
+    records = written.agg(F.sum("records")).first()[0] or 0
+    back = warc.checked(warc.read(spark, files, payloads=False), records, scratch_path(spark, "warc-check"))
     return back.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), warc.urn_page(F.col("refers_to")).alias("refers_to"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from celloom.session import small, stored
 
-#: Parts into which the rows of a shard are split while they are numbered, so that no task sees a whole shard.
-PARTS = 64
+#: Least parts into which the rows of a shard are split while they are numbered, and rows of a part that are aimed at with more.
+PARTS, PART_ROWS = 64, 50_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -34,11 +34,13 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str
     """df with two more columns: shard (int) and slot (long), the gapless place in the shard from 0.
 
     Null keys count as one key. Rows with equal keys share a shard; order (further columns) settles their places, and rows equal
-    in those too are interchangeable. An empty table gives an empty one. Clashing columns shard and slot are replaced.
+    in those too are interchangeable. Rows are numbered in parts by a hash of key and order, so that no task sees a whole shard, nor
+    all rows of a key that differ. An empty table gives an empty one. Clashing columns shard and slot are replaced.
     """
-    part = F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, -(-df.count() // (PART_ROWS * len(weights))))
+    part = F.pmod(F.xxhash64(F.col(key), *order, F.lit("part")), F.lit(parts)).cast("int")
     placed = df.withColumns({"shard": rendezvous(F.col(key), weights), "__part": part})
-    # a key's rows share a part; counts of parts (at most PARTS rows a shard) give where each part begins
+    # counts of parts give where each part begins
     counts = stored(placed.groupBy("shard", "__part").count(), "shard-parts")
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("shard", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__begin"))

@@ -92,13 +92,14 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     equal in key and text are one document in this order, and each gets its results. Null keys come last.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    held = docs.select(F.xxhash64(key, own).alias("row"), F.col(key).alias("key"), own.alias("text"))
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    held = docs.select(F.unhex(F.md5(F.concat(name, F.lit("|"), own))).alias("row"), F.col(key).alias("key"), own.alias("text"))
     known = stored(held.select("row", "key", F.char_length("text").cast("long").alias("n_chars"), signatures(F.col("text")).alias("found")), "signatures")
     order = stored(successors(known.select("row", "key", "n_chars").distinct(), "key").drop("key"), "successors")
     found = known.select("row", "found").dropDuplicates(["row"])
     facts = order.join(found.withColumnRenamed("row", "next_row").withColumnRenamed("found", "next_found"), "next_row").join(found, "row")
     starts = (
-        held.join(small(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))), "row")
+        held.join(small(order.select(F.col("next_row").alias("row"), F.col("row").alias("to"), F.floor(F.col("n_chars") / 3).cast("int").alias("cut")), width=128), "row")
         .select(F.col("to").alias("row"), F.expr("substring(text, 1, cut)").alias("start"))
     )
     if known.count() != order.count():  # rows repeat

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from celloom.llm.groups import hot_join
 from celloom.session import small, stored
 
 #: Hex digits of a digest on which the join works; 8 are 32 bits.
@@ -33,7 +34,8 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
 
     rules(host, path, verdict): a rule fits its host and all subdomains if the url's path starts with the rule's. The longest host
     wins, then the longest path; of rules that are equal in both, block beats allow. Null urls have an empty host and path, which no
-    rule fits, as rules without a host are left out. Clashing columns are replaced. Rows are kept as they are, repeats too.
+    rule fits, as rules without a host are left out. Columns host, path, rule and verdict are replaced. Rows are kept as they are,
+    repeats too; urls of any length are read whole. Without rules every url gets the default; an empty table gives an empty one.
     """
     kept = rules.where(F.length("host") > 0).select(
         F.translate("host", _UPPER, _LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -48,7 +50,9 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     # a url has only as many path prefixes as there are lengths among the rules' paths
     lengths = sorted(r[0] for r in kept.select(F.length("r_path")).distinct().collect())
     held = df.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    pairs = held.select("host", "path").where("host != ''").distinct()
+    held = held.withColumn("__place", F.concat("host", F.lit("\n"), "path"))
+    places = stored(held.groupBy("__place").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n")), "url-places")
+    pairs = places.select("host", "path").where("host != ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
@@ -66,8 +70,5 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
         .groupBy("host", "path")
         .agg(F.max(rank).alias("best"))
     )
-    return (
-        held.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best")["rule"], "verdict": F.coalesce(F.col("best")["verdict"], F.lit(default))})
-        .drop("best")
-    )
+    told = places.join(best, ["host", "path"], "left").select("__place", F.col("best")["rule"].alias("rule"), F.coalesce(F.col("best")["verdict"], F.lit(default)).alias("verdict"), "n")
+    return hot_join(held, stored(told, "url-verdicts"), "__place").drop("__place")

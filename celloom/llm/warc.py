@@ -20,6 +20,8 @@ VERSION = b"WARC/1.1"
 FILE_BYTES = 64 << 20
 #: Bytes read at once by the reader.
 BLOCK = 1 << 20
+#: Bytes of a header line among which its name ends.
+NAME = 1 << 10
 
 RECORD_SCHEMA = "file string, offset long, kind string, record_id string, target_uri string, refers_to string, payload_digest string, page_id long, full_bytes long, payload binary, reason string, gap_bytes long"
 
@@ -114,6 +116,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         def close():
             out.close()
             final = f"{base}/part-{at.partitionId():06d}-{made:04d}.warc.gz"
+            if filesystem.get_file_info(final).is_file:  # of an earlier attempt; not every file system moves onto a file
+                filesystem.delete_file(final)
             filesystem.move(name, final)
             return pd.DataFrame({"file": [final], "records": [n], "bytes": [size]})
 
@@ -171,58 +175,116 @@ class Stream:
         self.start += cut
 
 
-def _inflate(stream: Stream, at: int) -> tuple[bytes, int]:
-    """The gzip member at a position, with its checksum verified, and where it ends."""
-    z, out, pos = zlib.decompressobj(31), [], at
-    while not z.eof:
-        chunk = stream.get(pos, 1 << 16)
-        if not chunk:
-            raise ValueError("truncated member")
-        try:
-            out.append(z.decompress(chunk))
-        except zlib.error as error:
-            raise ValueError(f"bad member: {error}") from None
-        pos += len(chunk) - len(z.unused_data)
-    return b"".join(out), pos
+class Member:
+    """The plain bytes of the gzip member at a position, read in steps; ended once its checksum is verified at `at`, where it ends."""
+
+    def __init__(self, stream: Stream, at: int):
+        self.stream, self.at, self.z, self.ended = stream, at, zlib.decompressobj(31), False
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while not out and not self.ended:
+            chunk = self.z.unconsumed_tail or self.stream.get(self.at, 1 << 16)
+            if not chunk:
+                raise ValueError("truncated member")
+            try:
+                out = self.z.decompress(chunk, n)
+            except zlib.error as error:
+                raise ValueError(f"bad member: {error}") from None
+            self.at += len(chunk) - len(self.z.unconsumed_tail) - len(self.z.unused_data)
+            self.ended = self.z.eof
+        return out
+
+
+def _in_member(stream: Stream, here: int) -> Iterator[dict | int]:
+    """The records of the gzip member at a position, gaps between them as rows of kind "gap" (in plain bytes), and last the position
+    behind it. ValueError if the member is damaged, behind what was given.
+
+    A record with a block digest, which it has passed, is given at once; one without only after the next record or the member's
+    checksum proved right.
+    """
+    member = Member(stream, here)
+    plain, at, ready, given, gap, why = Stream(member), 0, None, False, None, ""
+    while True:
+        if given:
+            stream.keep(member.at)
+        found = plain.find((b"WARC/",), at)
+        start = found[0] if found else plain.start + len(plain.data)
+        if start > at and gap is None:
+            gap, why = at, why or "no record starts here"
+        record = None
+        if found:
+            try:
+                data, end = _plain(plain, start)
+                headers, block, _ = parse_record(data)
+                record = {"offset": here, "kind": headers.get("warc-type", ""), "headers": headers, "payload": block}
+            except Damage as error:
+                if not plain.ended and start == 0:
+                    raise
+                gap, why, at = (start if gap is None else gap), why or str(error), start + 1
+                continue
+        if (record or not found) and ready is not None:
+            yield ready
+            ready, given = None, True
+        if gap is not None and start > gap and (record or not found):
+            if record is None and gap == 0:
+                raise ValueError(why)
+            yield {"offset": here, "kind": "gap", "gap_bytes": start - gap, "reason": f"in a member: {why}"}
+            gap, why = None, ""
+        if record is None:
+            yield member.at
+            return
+        gap, why, at = None, "", end
+        if "warc-block-digest" in headers:
+            yield record
+            given = True
+        else:
+            ready = record
+        plain.keep(end)
+
+
+class Damage(ValueError):
+    """A record that fails a check, in bytes that could be read."""
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers by lower-cased name, block and length of the record at the start of data; ValueError if a check fails."""
     if not data.startswith(b"WARC/"):
-        raise ValueError("no version line")
+        raise Damage("no version line")
     end = data.find(b"\r\n\r\n")
     if end < 0:
-        raise ValueError("headers do not end")
+        raise Damage("headers do not end")
     headers = {}
     for line in data[:end].split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
-            raise ValueError("bad header line")
+            raise Damage("bad header line")
         headers[key.strip().lower().decode("ascii", "replace")] = value.strip().decode("utf-8", "surrogatepass")
     if not headers.get("content-length", "").isdigit():
-        raise ValueError("no content length")
+        raise Damage("no content length")
     size = int(headers["content-length"])
     block = data[end + 4 : end + 4 + size]
     if len(block) < size:
-        raise ValueError("truncated block")
+        raise Damage("truncated block")
     if data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-        raise ValueError("record does not end in two line ends")
+        raise Damage("record does not end in two line ends")
     told = headers.get("warc-block-digest", "").removeprefix("sha1:")
     if told and told != digest(block):
-        raise ValueError("block digest differs")
+        raise Damage("block digest differs")
     return headers, block, end + 8 + size
 
 
 def _plain(stream: Stream, at: int) -> tuple[bytes, int]:
-    """An uncompressed record at a position and where it ends."""
+    """An uncompressed record at a position and where it ends. Headers of any size are read as long as they look like headers."""
     head, n = b"", 4096
     while (end := (head := stream.get(at, n)).find(b"\r\n\r\n")) < 0:
-        if len(head) < n or n > 1 << 22:
-            raise ValueError("headers do not end")
+        *lines, last = head.split(b"\r\n")
+        if len(head) < n or any(b":" not in x[:NAME] for x in lines[1:]) or len(last) > NAME and b":" not in last[:NAME]:
+            raise Damage("headers do not end")
         n *= 2
     length = next((v.strip() for k, _, v in (x.partition(b":") for x in head[:end].split(b"\r\n")) if k.strip().lower() == b"content-length"), b"")
     if not length.isdigit():
-        raise ValueError("no content length")
+        raise Damage("no content length")
     whole = end + 8 + int(length)
     return stream.get(at, whole), at + whole
 
@@ -231,7 +293,8 @@ def salvage(raw: io.RawIOBase) -> Iterator[dict]:
     """Records of one archive in order, and a row of kind "gap" for each stretch of bytes that no valid record covers.
 
     After a failed check the search goes on one byte behind the failed start, for the next gzip member or version line that holds
-    a whole valid record; so later records are recovered whatever the damage before them.
+    a whole valid record; so later records are recovered whatever the damage before them. A gzip member may hold any number of
+    records, each found and checked like an uncompressed one, and is inflated in steps.
     """
     stream, at, gap, why = Stream(raw), 0, None, ""
     marks = (b"\x1f\x8b\x08", b"WARC/")
@@ -245,28 +308,50 @@ def salvage(raw: io.RawIOBase) -> Iterator[dict]:
             if gap is not None and end > gap:
                 yield {"offset": gap, "kind": "gap", "gap_bytes": end - gap, "reason": why}
             return
+        given = 0
         try:
             if found[1] == marks[0]:
-                data, end = _inflate(stream, here)
-                headers, block, length = parse_record(data)
-                if length != len(data):
-                    raise ValueError("member holds more than a record")
+                for row in _in_member(stream, here):
+                    if isinstance(row, int):
+                        end = row
+                        break
+                    if not given and gap is not None and here > gap:
+                        yield {"offset": gap, "kind": "gap", "gap_bytes": here - gap, "reason": why}
+                    given, gap, why = given + 1, None, ""
+                    yield row
             else:
                 data, end = _plain(stream, here)
                 headers, block, _ = parse_record(data)
         except ValueError as error:
+            if given:  # what the member held before the damage is recovered; the search goes on where the rest was being read
+                gap, why, at = here, f"after {given} rows of this member: {error}", max(stream.start, here + 1)
+                continue
             if gap is None or not why or why == "no record starts here":
                 gap, why = (here if gap is None else gap), str(error)
             at = here + 1
             continue
-        if gap is not None and here > gap:
-            yield {"offset": gap, "kind": "gap", "gap_bytes": here - gap, "reason": why}
+        if found[1] != marks[0]:
+            if gap is not None and here > gap:
+                yield {"offset": gap, "kind": "gap", "gap_bytes": here - gap, "reason": why}
+            yield {"offset": here, "kind": headers.get("warc-type", ""), "headers": headers, "payload": block}
         gap, why = None, ""
-        yield {"offset": here, "kind": headers.get("warc-type", ""), "headers": headers, "payload": block}
         at = end
         stream.keep(at)
 
 
+def checked(rows: DataFrame, records: int, folder: str) -> DataFrame:
+    """The records among the rows of read(), stored. Gaps go to a quarantine table in the folder, and a number of sound records other
+    than the number written raises."""
+    held = stored(rows, "warc-rows")
+    bad = held.where("kind = 'gap' or reason is not null")
+    bad.write.mode("overwrite").parquet(f"{folder}/quarantine")
+    found = held.where("kind != 'gap' and reason is null")
+    n = found.count()
+    if n != records:
+        raise RuntimeError(f"{n} sound records of {records} written; see {folder}/quarantine")
+    return found
+
+
 def _number(text: str | None) -> int | None:
     return int(text) if text and text.lstrip("-").isdigit() else None
 
@@ -275,6 +360,7 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = True) -> DataFr
     """RECORD_SCHEMA rows of the archives named in files(file): a path or URI each. Gaps are rows of kind "gap".
 
     Files are read in blocks; memory is bounded by the largest record, and by the rest of the file while a damaged stretch is tried.
+    A record whose payload does not have the digest its header gives comes with a reason. Empty files give no rows.
     """
     ship(spark)
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
