@@ -38,8 +38,9 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, lev
     to the best one (ties: the smaller name), so that two nodes cannot swap for ever. When a round of both halves moves nothing, or
     after `rounds` such rounds, communities become the nodes of the next level; a level that doesn't raise the modularity is
     dropped and ends the work. Every round is stored. Nodes have long ids and occur in an edge; edges may be given in one or both
-    directions. groups(node, grp), if given, hold all nodes; no edge joins two groups, and each has its own total weight. Unlike
-    Leiden it does not refine communities into connected parts, and labels differ from other implementations.
+    directions. groups(node, grp), if given, hold all nodes; no edge joins two groups, and each has its own total weight. At the end
+    a community that is not connected is divided into its connected parts, which never lowers the modularity. Labels differ from
+    other implementations.
     """
     whole = stored(both_ways(edges), "graph")
     strength = whole.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
@@ -77,11 +78,57 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, lev
         scale = stored(state.groupBy(F.col("c").alias("node")).agg(F.max("m").alias("m")), "graph-scale")
         ends = level.join(state.select(F.col("node").alias("a"), F.col("c").alias("u")), "a").join(state.select(F.col("node").alias("b"), F.col("c").alias("v")), "b")
         level = stored(ends.groupBy(F.col("u").alias("a"), F.col("v").alias("b")).agg(F.sum("weight").alias("weight")), "graph")
+    inside = whole.join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b").where("la = lb").select("a", "b")
+    parts = connected(inside).toDF("node", "part")
+    named = stored(named.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("label")), "labels")
     order = Window.orderBy(F.col("n").desc(), "first")
     ids = named.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("first")).select("label", (F.row_number().over(order) - 1).alias("community"))
     return named.join(small(stored(ids, "graph-ids")), "label").select("node", "community")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's connected part, of edges(a, b) given in both directions.
+
+    In a round a node takes the least root among its neighbours' and its own, then its root's root; rounds are stored, and their
+    number grows with the logarithm of the longest path in most graphs.
+    """
+    held = stored(edges.where("a != b").distinct(), "edges")
+    state = stored(held.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    while True:
+        near = held.join(state.toDF("b", "r"), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
+        least = stored(state.join(near, "node").select("node", "root", F.least("root", "r").alias("next")), "roots")
+        jumped = least.join(least.select(F.col("node").alias("next"), F.col("next").alias("jump")), "next")
+        now = stored(jumped.select("node", F.col("root").alias("before"), F.least("next", "jump").alias("root")), "roots")
+        if not now.where("root != before").limit(1).count():
+            return now.select("node", "root")
+        state = now.select("node", "root")
+
+
+def stitch_space(points: DataFrame, entries: DataFrame, cells: DataFrame, batch: str, k: int = 3, n: int = 20, least: float = 0.1, rounds: int = 1) -> DataFrame:
+    """(node, dim, value): points(id, vec) of several batches moved towards their alike in all batches.
+
+    Each point has k neighbours in every batch; the graph within a batch gives its communities, whose n best markers are compared:
+    edges between batches stay where the marker sets of their communities have a Jaccard of at least the least. Then points move to
+    the weighted means of their neighbours. entries(cell, feat, x), cells(cell, batch).
+    """
+    from celloom.operators import markers, neighbors, normalize, stats
+
+    held = stored(points.join(cells.select(F.col("cell").alias("id"), F.col(batch).alias("batch")), "id"), "stitch-points")
+    near = stored(neighbors.knn(held, held, k, within="batch"), "stitch-neighbours")
+    edges = stored(both_ways(near.select(F.col("query").alias("a"), F.col("neighbour").alias("b"), F.lit(1.0).alias("weight"))), "stitch-edges")
+    groups = stored(held.select(F.col("id").alias("node"), F.col("batch").alias("grp")), "stitch-groups")
+    found = stored(within_groups(edges, groups), "stitch-communities")
+    z = normalize.infog(entries, cells).join(found.select(F.col("node").alias("cell")), "cell", "left_semi")
+    best = markers.top_per_group(markers.cosg(z, found.select(F.col("node").alias("cell"), F.col("community").alias("cluster")), "cluster", "z"), "cluster", n)
+    alike = stats.jaccard(stored(best, "stitch-markers"), "cluster", "feat").where(F.col("jaccard") >= least)
+    nodes = groups.join(found, "node").select("node", F.col("grp").alias("batch"), F.col("community").alias("cluster"))
+    kept = stored(prune(edges, nodes, alike.select(F.col("a").alias("ca"), F.col("b").alias("cb"))), "stitch-kept")
+    out = held.select(F.col("id").alias("node"), F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "value"))
+    for _ in range(rounds):
+        out = stored(stitch(kept, out), "stitch-moved")
+    return out
+
+
 def within_groups(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community): each group of groups(node, grp) is divided by its own edges; names are group-00, group-01 ... by falling size.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celloom.operators.neighbors import feature_neighbours
-from celloom.operators.stats import bh, draw
+from celloom.operators.stats import bh, draw, reached
 from celloom.session import small, stored
 
 
@@ -19,7 +19,7 @@ def cosg(values: DataFrame, cells: DataFrame, group: str, value: str, mu: float
     sizes = cells.groupBy(group).agg(F.count("*").alias("n"))
     sums = values.join(cells.select("cell", group), "cell").groupBy(group, "feat").agg(F.sum(value).alias("s"), F.sum((F.col(value) > 0).cast("long")).alias("k"), F.sum(F.col(value) * F.col(value)).alias("q"))
     by_feature = Window.partitionBy("feat")
-    cos = sums.join(F.broadcast(sizes), group).withColumn("cos", F.col("s") / (F.sqrt(F.sum("q").over(by_feature)) * F.sqrt(F.col("n").cast("double"))))
+    cos = sums.join(sizes, group).withColumn("cos", F.col("s") / (F.sqrt(F.sum("q").over(by_feature)) * F.sqrt(F.col("n").cast("double"))))
     square = F.col("cos") * F.col("cos")
     out = cos.withColumn("all", F.sum(square).over(by_feature))
     score = square * F.col("cos") / (F.lit(1.0 - mu) * square + F.lit(float(mu)) * F.col("all"))
@@ -31,19 +31,62 @@ def top_per_group(scores: DataFrame, group: str, n: int, digits: int = 9) -> Dat
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def score_sets(values: DataFrame, stats: DataFrame, sets: DataFrame, value: str, neighbours: int = 30, draws: int = 100, seed: int = 1927) -> DataFrame:
-    """(cell, set, score): the set's weighted sum less the mean of its controls, over median weight times set size.
+def _controls(stats: DataFrame, sets: DataFrame, neighbours: int, draws: int, seed: int, near: DataFrame | None = None) -> DataFrame:
+    """(set, draw, feat, weight): in each draw every feature of a set gives way to one of its nearest neighbours by mean and variance."""
+    near = feature_neighbours(stats, sets.select("feat").distinct(), neighbours) if near is None else near
+    drawn = sets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("rank", draw(neighbours, F.col("feat"), F.col("set"), F.col("draw"), seed) + 1)
+    return drawn.join(near, ["feat", "rank"]).select("set", "draw", F.col("neighbour").alias("feat"), "weight")
+
 
-    sets(set, feat, weight), stats(feat, mean, var). In each draw every feature gives way to one of its nearest neighbours by mean and
-    variance. Only the mean over draws is needed here, so the draws add up to one weight a feature before the entries are joined once.
-    Cells without any of these features are left out (their score is 0).
+def score_sets(values: DataFrame, stats: DataFrame, sets: DataFrame, value: str, cells: DataFrame, neighbours: int = 30, draws: int = 100, seed: int = 1927, near: DataFrame | None = None) -> DataFrame:
+    """(cell, set, score) for every cell and set: the set's weighted sum less the mean of its controls, over median weight times set size.
+
+    sets(set, feat, weight), stats(feat, mean, var), cells(cell); near(feat, neighbour, rank), if given, stands for stats. Only the mean over draws is needed here, so the draws add up to one
+    weight a feature before the entries are joined once. Cells without any of these features score 0.
     """
-    near = feature_neighbours(stats, sets.select("feat").distinct(), neighbours)
-    drawn = sets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("rank", draw(neighbours, F.col("feat"), F.col("set"), F.col("draw"), seed) + 1)
-    control = drawn.join(near, ["feat", "rank"]).groupBy("set", F.col("neighbour").alias("feat")).agg((-F.sum("weight") / F.lit(float(draws))).alias("weight"))
+    control = _controls(stats, sets, neighbours, draws, seed, near).groupBy("set", "feat").agg((-F.sum("weight") / F.lit(float(draws))).alias("weight"))
     size = sets.groupBy("set").agg((F.median("weight") * F.count("*")).alias("of"))
     weights = sets.select("set", "feat", "weight").unionByName(control).groupBy("set", "feat").agg(F.sum("weight").alias("weight")).join(size, "set")
-    return values.join(small(weights), "feat").groupBy("cell", "set").agg((F.sum(F.col(value) * F.col("weight")) / F.first("of")).alias("score"))
+    found = values.join(small(stored(weights, "set-weights")), "feat").groupBy("cell", "set").agg((F.sum(F.col(value) * F.col("weight")) / F.first("of")).alias("score"))
+    every = cells.select("cell").crossJoin(small(stored(sets.select("set").distinct(), "set-names")))
+    return every.join(found, ["cell", "set"], "left").select("cell", "set", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def score_p_values(values: DataFrame, stats: DataFrame, sets: DataFrame, value: str, cells: DataFrame, neighbours: int = 30, draws: int = 100, seed: int = 1927, digits: int = 9) -> DataFrame:
+    """score_sets() with its parts and p-values, a row a cell and set: score_query, score_ctrl_average, score; p_mc, the share of the
+    cell's own draws at or over the query; p, its rank among the draws of all cells; their rates by Benjamini-Hochberg within the set
+    and the negative logarithms of all four to base 10.
+
+    Draws are compared at so many digits. Only draws other than 0 are rows; the others of a cell are counted, not made.
+    """
+    size = stored(sets.groupBy("set").agg((F.median("weight") * F.count("*")).alias("of")), "set-sizes")
+    control = stored(_controls(stats, sets, neighbours, draws, seed).groupBy("set", "draw", "feat").agg(F.sum("weight").alias("weight")), "set-controls")
+    null = values.join(control, "feat").groupBy("cell", "set", "draw").agg(F.sum(F.col(value) * F.col("weight")).alias("v"))
+    null = stored(null.select("cell", "set", F.round("v", digits).alias("v")).where("v != 0"), "set-draws")
+    query = values.join(small(stored(sets, "sets")), "feat").groupBy("cell", "set").agg(F.sum(F.col(value) * F.col("weight")).alias("q"))
+    every = cells.select("cell").crossJoin(small(size))
+    held = every.join(query, ["cell", "set"], "left").withColumn("q", F.round(F.coalesce("q", F.lit(0.0)), digits))
+    own = null.join(held.select("cell", "set", "q"), ["cell", "set"]).groupBy("cell", "set").agg(F.count("*").alias("made"), F.sum((F.col("v") >= F.col("q")).cast("long")).alias("over"), F.sum("v").alias("sum"))
+    held = held.join(own, ["cell", "set"], "left").fillna(0, ["made", "over", "sum"])
+    over = F.col("over") + F.when(F.col("q") <= 0, F.lit(draws) - F.col("made")).otherwise(0)
+    held = stored(held.withColumn("p_mc", (over + F.lit(1.0)) / F.lit(draws + 1.0)), "set-scores")
+    # all draws of a set together: the made ones by rank, the others as one value of 0
+    known = null.select("set", "v", F.lit(1).alias("k")).unionByName(held.groupBy("set").agg(F.sum(F.lit(draws) - F.col("made")).alias("k")).select("set", F.lit(0.0).alias("v"), "k"))
+    known = known.unionByName(held.select("set", F.col("q").alias("v"), F.lit(0).alias("k")))
+    ranks = reached(known, "v", "k", "set")
+    out = held.withColumn("v", F.col("q")).join(ranks, ["set", "v"]).withColumn("p", (F.col("reach") + F.lit(1.0)) / (F.col("all") + F.lit(1.0)))
+    out = out.select("cell", "set", (F.col("q") / F.col("of")).alias("score_query"), (F.col("sum") / F.lit(float(draws)) / F.col("of")).alias("score_ctrl_average"), "p_mc", "p")
+    out = out.withColumn("score", F.col("score_query") - F.col("score_ctrl_average"))
+    for p in ("p_mc", "p"):
+        out = bh(stored(out, "set-p"), p, ["set"]).withColumnRenamed("fdr", f"{p}_fdr")
+    return out.withColumns({f"nlog10_{p}": -F.log10(p) for p in ("p_mc", "p_mc_fdr", "p", "p_fdr")})
+
+
+def predict(scores: DataFrame, digits: int = 9) -> DataFrame:
+    """(cell, label, score): for each cell of score_sets() the set of the greatest score, compared at so many digits; ties fall to the
+    set that comes first."""
+    best = scores.groupBy("cell").agg(F.min(F.struct((-F.round("score", digits)).alias("cost"), "set", "score")).alias("b"))
+    return best.select("cell", F.col("b.set").alias("label"), F.col("b.score").alias("score"))
 
 
 def ligand_receptor(specificity: DataFrame, pairs: DataFrame) -> DataFrame:

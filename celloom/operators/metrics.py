@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most pairs of categories that are put in order.
+ORDERED = 1_000_000
+
 
 def cell_metrics(entries: DataFrame, cells: DataFrame, sets: dict[str, Column], features: DataFrame) -> DataFrame:
     """(cell, n_counts, n_features and, for each set of features, n_counts_k and pct_counts_k); empty cells have zeros."""
@@ -74,3 +78,29 @@ def frip(counts: DataFrame, fragments: DataFrame, x: str = "x", n: str = "n_frag
     sums = counts.groupBy("cell").agg(F.sum(x).alias("__s"))
     share = F.when(F.col(n) > 0, F.coalesce("__s", F.lit(0)) / F.col(n)).otherwise(0.0)
     return fragments.join(sums, "cell", "left").select("cell", share.alias("frip"))
+
+
+def svd_order(counts: DataFrame, query: str, reference: str, value: str = "share") -> tuple[list, list]:
+    """The query's and the reference's categories in the order of the first singular vectors of their table, so that like ones meet.
+
+    The categories of a crosstab are few; more than ORDERED pairs raise.
+    """
+    rows = counts.select(query, reference, F.col(value).cast("double")).limit(ORDERED + 1).collect()
+    if len(rows) > ORDERED:
+        raise ValueError(f"over {ORDERED} pairs")
+    left, right = (sorted({r[i] for r in rows}, key=str) for i in range(2))
+    table = np.zeros((len(left), len(right)))
+    for a, b, v in rows:
+        table[left.index(a), right.index(b)] = v
+    if not table.size:
+        return left, right
+    u, _, vt = np.linalg.svd(table, full_matrices=False)
+    sign = -1.0 if u[np.abs(u[:, 0]).argmax(), 0] < 0 else 1.0
+    order = lambda v: np.argsort(np.round(sign * v, 9), kind="stable")
+    return [left[i] for i in order(u[:, 0])], [right[i] for i in order(vt[0])]
+
+
+def group_means(cells: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, metric, mean, median) of columns of the cells, nulls left out; a null group is NA."""
+    held = cells.select(F.coalesce(F.col(group).cast("string"), F.lit("NA")).alias(group), F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m"))
+    return held.select(group, "m.*").groupBy(group, "metric").agg(F.avg("v").alias("mean"), F.median("v").alias("median"))

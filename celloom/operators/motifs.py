@@ -31,9 +31,11 @@ def background(sequences: DataFrame, sequence: str, pseudo: float = 1.0) -> Data
 
 
 def log_odds(pwm: np.ndarray, bg: np.ndarray | None = None, pseudo: float = 0.01) -> np.ndarray:
-    """log2 odds (4 x width) of base frequencies (4 x width), smoothed by a share of the background (uniform)."""
-    bg = np.full(4, 0.25) if bg is None else np.asarray(bg, float)
-    share = np.asarray(pwm, float) / np.sum(pwm, axis=0)
+    """log2 odds (4 x width) of base frequencies (4 x width), smoothed by a share of the background (uniform). A base that the
+    background lacks counts as very rare; a column without any frequency is all background share."""
+    bg = np.full(4, 0.25) if bg is None else np.maximum(np.asarray(bg, float), 1e-9)
+    total = np.sum(pwm, axis=0)
+    share = np.asarray(pwm, float) / np.where(total > 0, total, 1.0)
     return np.log2((share + pseudo * bg[:, None]) / (1 + pseudo) / bg[:, None])
 
 
@@ -80,11 +82,12 @@ def encode(sequence: str) -> np.ndarray:
 
 
 def hits(odds: np.ndarray, sequence: str, threshold: float, both: bool = True) -> list[tuple[int, str, float]]:
-    """(start on the given strand, strand, score) of all windows that reach the threshold."""
+    """(start, strand, score) of all windows that reach the threshold; on the minus strand starts count along that strand."""
     out, codes = [], encode(sequence)
     for strand, matrix in (("+", odds), ("-", odds[::-1, ::-1]))[: 2 if both else 1]:
         score = window_scores(matrix, codes)
-        out += [(int(i), strand, float(score[i])) for i in np.flatnonzero(score >= threshold)]
+        at = np.flatnonzero(score >= threshold)
+        out += [(int(i) if strand == "+" else len(codes) - odds.shape[1] - int(i), strand, float(score[i])) for i in at]
     return out
 
 

@@ -64,8 +64,55 @@ def knn(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector:
     return near.drop("g") if within is None else near.withColumnRenamed("g", within)
 
 
+#: Most points of a plane that every task gets; more are compared in blocks.
+PLANE = 2_000_000
+
+
+def plane_neighbours(points: np.ndarray, ids: np.ndarray, order: np.ndarray, at: int, k: int, digits: int) -> np.ndarray:
+    """Places of the k points of a plane nearest to the one at a place, itself left out: distances at so many digits, ties by id.
+
+    points are sorted by their first coordinate, order holds the places by id. A stretch of the order around the point gives k
+    distances, of which the greatest bounds the stretch that can hold nearer ones.
+    """
+    x, y = points[at]
+    low, high = max(0, at - 2 * k), min(len(points), at + 2 * k + 1)
+    few = np.sort(np.hypot(points[low:high, 0] - x, points[low:high, 1] - y))
+    far = few[min(k, len(few) - 1)] + 10.0**-digits if high - low > k else np.inf
+    low, high = np.searchsorted(points[:, 0], [x - far, x + far], side="left")
+    high = np.searchsorted(points[:, 0], x + far, side="right")
+    found = np.arange(low, high)
+    d = np.round(np.sqrt((points[low:high, 0] - x) ** 2 + (points[low:high, 1] - y) ** 2), digits)
+    found, d = found[(d <= far) & (found != at)], d[(d <= far) & (np.arange(low, high) != at)]
+    if len(found) > k:  # few enough to sort: those within the k-th distance
+        found, d = (z[d <= np.partition(d, k - 1)[k - 1]] for z in (found, d))
+    return found[np.lexsort((ids[found], d))[:k]]
+
+
 def feature_neighbours(stats: DataFrame, wanted: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """(feat, neighbour, rank): the k features nearest in (mean, var)."""
+    """(feat, neighbour, rank): the k features nearest in (mean, var), distances at so many digits, ties by the lower feature.
+
+    Up to PLANE features go to every task, sorted by their mean; more are compared in blocks by knn().
+    """
+    spark = stats.sparkSession
+    ship(spark)
+    held = stored(stats.select(F.col("feat").cast("long").alias("feat"), F.round("mean", digits).alias("mean"), F.round("var", digits).alias("var")), "feature-points")
+    if held.count() <= PLANE:
+        known = held.toArrow()
+        ids, plane = known["feat"].to_numpy(), np.stack([known["mean"].to_numpy(), known["var"].to_numpy()], 1)
+        place = np.lexsort((ids, plane[:, 1], plane[:, 0]))
+        shared = spark.sparkContext.broadcast((plane[place], ids[place]))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            points, names = shared.value
+            order = np.argsort(names)
+            for batch in batches:
+                of = order[np.searchsorted(names, batch.feat.to_numpy(), sorter=order)]
+                near = [plane_neighbours(points, names, order, int(i), k, digits) for i in of]
+                sizes = [len(n) for n in near]
+                yield pd.DataFrame({"feat": np.repeat(batch.feat.to_numpy(), sizes), "neighbour": names[np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)], "rank": np.concatenate([np.zeros(0, np.int64), *(np.arange(1, n + 1) for n in sizes)])})
+
+        own = wanted.select(F.col("feat").cast("long").alias("feat")).join(held.select("feat"), "feat", "left_semi")
+        return own.mapInPandas(run, "feat long, neighbour long, rank int")
     points = stored(stats.select(F.col("feat").alias("id"), F.array(F.round("mean", digits), F.round("var", digits)).alias("vec")), "feature-points")
     near = knn(points, points.join(wanted.select(F.col("feat").alias("id")), "id", "left_semi"), k, digits=digits)
     return near.select(F.col("query").alias("feat"), "neighbour", "rank")

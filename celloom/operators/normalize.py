@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from celloom.operators.stats import quantiles
+from celloom.session import stored
+
 
 def depths(entries: DataFrame, cells: DataFrame) -> DataFrame:
     """(cell, depth): the sum of every cell, 0 where it has no entries."""
@@ -13,8 +16,10 @@ def depths(entries: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _constants(entries: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row: n_cells, the median depth s and the grand total t."""
-    return depths(entries, cells).agg(F.count("*").alias("n_cells"), F.median("depth").alias("s"), F.sum("depth").alias("t"))
+    """One row: n_cells, the median depth s and the grand total t. The median is read from distributed ranks."""
+    depth = stored(depths(entries, cells), "depths")
+    middle = quantiles(depth, "depth", [0.5]).select(F.col("q0").alias("s"))
+    return depth.agg(F.count("*").alias("n_cells"), F.sum("depth").alias("t")).crossJoin(middle)
 
 
 def infog(entries: DataFrame, cells: DataFrame, trim: bool = True) -> DataFrame:

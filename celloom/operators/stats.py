@@ -15,11 +15,34 @@ def draw(n: int, *parts: Column | int | str) -> Column:
 
 
 def bh(df: DataFrame, p: str, by: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
-    """df with fdr: Benjamini-Hochberg within each `by` (all rows without it)."""
-    part = Window.partitionBy(*(by or []))
-    order = part.orderBy(p, *(key or []))
-    raw = F.col(p) * F.count("*").over(part) / F.row_number().over(order)
-    return df.withColumn("__raw", raw).withColumn("fdr", F.least(F.lit(1.0), F.min("__raw").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))).drop("__raw")
+    """df with fdr: Benjamini-Hochberg within each `by` (all rows without it); null where p is. Equal p have equal rates.
+
+    Distinct p are dealt out by ranges over all groups and stored. A task runs through its own range, the greatest p first; from the
+    other ranges of a group it gets two numbers each, the rows before and the least rate behind, so no task sees a whole group.
+    """
+    own = by or []
+    keys = [f"__k{i}" for i in range(len(own))]
+    told = df.where(F.col(p).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(own, keys, strict=True)], F.col(p).alias("__p"))
+    held = told.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    held = stored(held.repartitionByRange(*keys, "__p").withColumn("__part", F.spark_partition_id()), "bh-values")
+    held = held.withColumn("__g", F.struct(*keys, F.col("__part").alias("part")))
+    of = Window.partitionBy(*keys)
+    sizes = held.groupBy(*keys, "__part", "__g").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select("__g", (F.sum("__size").over(of.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(of).alias("__of"))
+    inside = Window.partitionBy("__g")
+    raw = _same(held, sizes).withColumn("__up", F.sum("__n").over(inside.orderBy("__p")))
+    raw = raw.withColumn("__raw", F.col("__p") * F.col("__of") / (F.col("__before") + F.col("__up")))
+    raw = stored(raw.select(*keys, "__part", "__g", "__p", F.min("__raw").over(inside.orderBy(F.col("__p").desc())).alias("__least")), "bh-rates")
+    behind = raw.groupBy(*keys, "__part", "__g").agg(F.min("__least").alias("__m"))
+    behind = behind.select("__g", F.min("__m").over(of.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("__behind"))
+    rates = _same(raw, behind).select(*keys, "__p", F.least(F.lit(1.0), "__least", "__behind").alias("fdr"))
+    kept = df.drop("fdr")
+    return kept.join(rates, [F.col(p) == F.col("__p"), *[F.col(c).eqNullSafe(F.col(k)) for c, k in zip(own, keys, strict=True)]], "left").select(*kept.columns, "fdr")
+
+
+def _same(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their group __g, whose keys may be null."""
+    return rows.join(facts.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h"))).drop("__h")
 
 
 def monte_carlo(null: DataFrame, observed: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
@@ -70,6 +93,20 @@ def pooled(null: DataFrame, observed: DataFrame, keys: list[str], digits: int =
     return seen.crossJoin(F.broadcast(totals)).select(*keys, ((F.col("known") - F.col("below0") + F.lit(1.0)) / (F.col("m") + F.lit(1.0))).alias("p"))
 
 
+def reached(values: DataFrame, value: str, count: str, by: str) -> DataFrame:
+    """(by, value, reach, all): for each distinct value of a group the sum of count over its rows at or over it, and over all rows.
+
+    Values are dealt out by ranges, so that a task sees a part of a group.
+    """
+    held = values.groupBy(by, value).agg(F.sum(count).alias("__n"))
+    held = stored(held.repartitionByRange(by, value).withColumn("__part", F.spark_partition_id()), "reached-values")
+    parts = held.groupBy(by, "__part").agg(F.sum("__n").alias("__size"))
+    of = Window.partitionBy(by)
+    parts = parts.select(by, "__part", F.sum("__size").over(of).alias("all"), (F.sum("__size").over(of.orderBy(F.col("__part").desc())) - F.col("__size")).alias("__behind"))
+    own = Window.partitionBy(by, "__part").orderBy(F.col(value).desc())
+    return held.join(parts, [by, "__part"]).select(by, value, (F.sum("__n").over(own) + F.col("__behind")).alias("reach"), "all")
+
+
 def majority(neighbours: DataFrame, node: str, label: str) -> DataFrame:
     """(node, label, confidence): each node's most frequent neighbour label, ties by the smaller, and its share."""
     counts = neighbours.groupBy(node, label).agg(F.count("*").alias("n"))

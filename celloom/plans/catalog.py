@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celloom.operators import decompose, doublets, filters, graphs, intervals, markers, metrics, motifs, neighbors, normalize, stats
-from celloom.session import stored, table
+from celloom.session import small, stored, table
 from celloom.sources import model
 
 FLAGSHIP = "infog"
@@ -47,7 +47,7 @@ def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
 
 
 def _infog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.infog(model.entries(spark, sf_dir), model.cells(spark, sf_dir))
+    return normalize.infog(stored(model.entries(spark, sf_dir), "entries"), model.cells(spark, sf_dir))
 
 
 def _moments(spark: SparkSession, sf_dir: str, z: DataFrame) -> DataFrame:
@@ -190,11 +190,11 @@ def crosstab_all(spark, sf_dir):
     return rounded(metrics.crosstab(model.cells(spark, sf_dir), "grp", "batch", "all"), "share")
 
 
-_DOT = f"{INFOG}, w AS (SELECT * FROM z WHERE feat <= 50), s AS (SELECT grp, count(*) AS size FROM c GROUP BY 1), t AS (SELECT grp, feat, sum(z) AS total, count(*) FILTER (z > 0) AS k FROM w JOIN c ON c.cell = w.cell GROUP BY 1, 2), x AS (SELECT grp, feat, size FROM s, (SELECT DISTINCT feat FROM w)), o AS (SELECT x.grp, x.feat, coalesce(k, 0)::DOUBLE / size AS fraction, coalesce(total, 0) / size AS mean FROM x LEFT JOIN t ON t.grp = x.grp AND t.feat = x.feat)"
+_DOT = f"{INFOG}, w AS (SELECT * FROM z), s AS (SELECT grp, count(*) AS size FROM c GROUP BY 1), t AS (SELECT grp, feat, sum(z) AS total, count(*) FILTER (z > 0) AS k FROM w JOIN c ON c.cell = w.cell GROUP BY 1, 2), x AS (SELECT grp, feat, size FROM s, (SELECT DISTINCT feat FROM w)), o AS (SELECT x.grp, x.feat, coalesce(k, 0)::DOUBLE / size AS fraction, coalesce(total, 0) / size AS mean FROM x LEFT JOIN t ON t.grp = x.grp AND t.feat = x.feat)"
 
 
 def _dots(spark, sf_dir):
-    return metrics.dotplot(_infog(spark, sf_dir).where("feat <= 50"), model.cells(spark, sf_dir), "grp", "z")
+    return metrics.dotplot(stored(_infog(spark, sf_dir), "infog"), model.cells(spark, sf_dir), "grp", "z")
 
 
 @query(f"{_DOT} SELECT grp, feat, round(fraction, 6) AS fraction, round(mean, 6) AS mean FROM o")
@@ -212,28 +212,6 @@ def heatmap_zscore(spark, sf_dir):
     return rounded(normalize.scale_by(_dots(spark, sf_dir), "feat", "mean", "zscore").select("grp", "feat", "scaled"), "scaled")
 
 
-_EVERY_DOT = _DOT.replace(" WHERE feat <= 50", "")
-
-
-def _every_dot(spark, sf_dir):
-    return metrics.dotplot(_infog(spark, sf_dir), model.cells(spark, sf_dir), "grp", "z")
-
-
-@query(f"{_EVERY_DOT} SELECT grp, feat, round(fraction, 6) AS fraction, round(mean, 6) AS mean FROM o")
-def dotplot_every_feature(spark, sf_dir):
-    return rounded(_every_dot(spark, sf_dir), "fraction", "mean")
-
-
-@query(f"{_EVERY_DOT}, r AS (SELECT *, max(mean) OVER (PARTITION BY feat) AS hi, min(mean) OVER (PARTITION BY feat) AS lo FROM o) SELECT grp, feat, round(CASE WHEN hi = lo THEN 0 ELSE (mean - lo) / (hi - lo) END, 6) AS scaled FROM r")
-def dotplot_minmax_every_feature(spark, sf_dir):
-    return rounded(normalize.scale_by(_every_dot(spark, sf_dir), "feat", "mean").select("grp", "feat", "scaled"), "scaled")
-
-
-@query(f"{_EVERY_DOT}, r AS (SELECT *, stddev_samp(mean) OVER (PARTITION BY feat) AS sd, avg(mean) OVER (PARTITION BY feat) AS m FROM o) SELECT grp, feat, round(CASE WHEN sd = 0 THEN 0 ELSE (mean - m) / sd END, 6) AS scaled FROM r")
-def heatmap_zscore_every_feature(spark, sf_dir):
-    return rounded(normalize.scale_by(_every_dot(spark, sf_dir), "feat", "mean", "zscore").select("grp", "feat", "scaled"), "scaled")
-
-
 @query("SELECT label, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2")
 def centroids(spark, sf_dir):
     return rounded(metrics.centroids(model.points(spark, sf_dir), "label", "vec"), "mean")
@@ -277,13 +255,14 @@ _SCORE = f"""pt AS MATERIALIZED (SELECT feat, round(mean, 9) AS mean, round(var,
     FROM pt a JOIN pt b ON a.feat <> b.feat WHERE a.feat IN (SELECT feat FROM st)),
   dr AS (SELECT set, feat, weight, (('0x' || substr(md5(concat_ws('|', feat, set, i, 1927)), 1, 8))::BIGINT % 30) + 1 AS rank FROM st, range(0, 100) t(i)),
   wt AS (SELECT set, feat, sum(weight) AS weight FROM (SELECT set, feat, weight FROM st UNION ALL SELECT set, neighbour, -weight / 100.0::DOUBLE FROM dr JOIN nn USING (feat, rank)) GROUP BY 1, 2),
-  sz AS (SELECT set, median(weight) * count(*) AS sz FROM st GROUP BY 1), sc AS (SELECT cell, wt.set, sum(z * weight) / any_value(sz) AS score FROM z JOIN wt ON wt.feat = z.feat JOIN sz ON sz.set = wt.set GROUP BY 1, 2)"""
+  sz AS (SELECT set, median(weight) * count(*) AS sz FROM st GROUP BY 1), ss AS (SELECT cell, wt.set, sum(z * weight) / any_value(sz) AS score FROM z JOIN wt ON wt.feat = z.feat JOIN sz ON sz.set = wt.set GROUP BY 1, 2),
+  sc AS (SELECT c.cell, sz.set, coalesce(score, 0.0::DOUBLE) AS score FROM c CROSS JOIN sz LEFT JOIN ss ON ss.cell = c.cell AND ss.set = sz.set)"""
 
 
 def _scores(spark, sf_dir):
     z = stored(_infog(spark, sf_dir), "infog")
     sets = stored(markers.top_per_group(_cosg(spark, sf_dir, z), "grp", 20).select(F.col("grp").alias("set"), "feat", F.lit(1.0).alias("weight")), "sets")
-    return markers.score_sets(z, _moments(spark, sf_dir, z), sets, "z")
+    return markers.score_sets(z, _moments(spark, sf_dir, z), sets, "z", model.cells(spark, sf_dir))
 
 
 @query(f"{INFOG}, {_COSG}, {_TOP}, {_SCORE} SELECT cell, set, round(score, 6) AS score FROM sc")
@@ -292,8 +271,8 @@ def score_sets(spark, sf_dir):
 
 
 @query(
-    f"""{INFOG}, {_COSG}, {_TOP}, {_SCORE}, l AS (SELECT set, sqrt(sum(score * score)) AS l FROM sc GROUP BY 1), y AS (SELECT cell, sc.set, score / l AS y FROM sc JOIN l ON l.set = sc.set)
-    SELECT cell, set, round(y / sqrt(sum(y * y) OVER (PARTITION BY cell)), 6) AS score FROM y"""
+    f"""{INFOG}, {_COSG}, {_TOP}, {_SCORE}, l AS (SELECT set, sqrt(sum(score * score)) AS l FROM sc GROUP BY 1), y AS (SELECT cell, sc.set, score / l AS y FROM sc JOIN l ON l.set = sc.set), r AS (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY cell)) AS n FROM y)
+    SELECT cell, set, round(y / CASE WHEN n < 1e-12::DOUBLE THEN 1 ELSE n END, 6) AS score FROM r"""
 )
 def gdr(spark, sf_dir):
     return rounded(normalize.l2_columns_rows(_scores(spark, sf_dir), "cell", "set", "score").select("cell", "set", "score"), "score")
@@ -301,10 +280,7 @@ def gdr(spark, sf_dir):
 
 @query(f"{INFOG}, {_COSG}, {_TOP}, {_SCORE} SELECT cell, set AS label, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY cell ORDER BY round(score, 9) DESC, set) = 1")
 def predict_by_marker(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cell").orderBy(F.round("score", 9).desc(), "set")
-    return rounded(_scores(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("cell", F.col("set").alias("label"), "score"), "score")
+    return rounded(markers.predict(_scores(spark, sf_dir)), "score")
 
 
 _LR = "pr AS (SELECT p_partkey AS ligand, p_partkey + 1 AS receptor, p_type AS annotation FROM part)"
@@ -367,11 +343,11 @@ def pooled_p(spark, sf_dir):
 
 
 @query(
-    f"""{INFOG}, {_COSG}, {_TOP}, h AS (SELECT grp AS a, feat FROM tp), n AS (SELECT a, count(*) AS n FROM h GROUP BY 1), s AS (SELECT x.a, y.a AS b, count(*) AS k FROM h x JOIN h y ON x.feat = y.feat AND x.a < y.a GROUP BY 1, 2)
+    f"""{INFOG}, {_COSG}, {_TOP.replace('20', '300')}, h AS (SELECT grp AS a, feat FROM tp), n AS (SELECT a, count(*) AS n FROM h GROUP BY 1), s AS (SELECT x.a, y.a AS b, count(*) AS k FROM h x JOIN h y ON x.feat = y.feat AND x.a < y.a GROUP BY 1, 2)
     SELECT s.a, s.b, round(k::DOUBLE / (n.n + m.n - k), 6) AS jaccard FROM s JOIN n ON n.a = s.a JOIN n m ON m.a = s.b"""
 )
 def marker_jaccard(spark, sf_dir):
-    return rounded(stats.jaccard(stored(markers.top_per_group(_cosg(spark, sf_dir), "grp", 20), "markers"), "grp", "feat"), "jaccard")
+    return rounded(stats.jaccard(stored(markers.top_per_group(_cosg(spark, sf_dir), "grp", 300), "markers"), "grp", "feat"), "jaccard")
 
 
 _NN = "nn AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 15)"
@@ -411,7 +387,7 @@ def knn_across_batches(spark, sf_dir):
     """WITH bn AS (SELECT a.vec_id AS query, b.label AS batch, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS rank
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY rank <= 3) SELECT query, batch, neighbour, rank::INTEGER AS rank FROM bn"""
 )
-def knn_every_batch(spark, sf_dir):
+def knn_across_batches(spark, sf_dir):
     held = model.points(spark, sf_dir).withColumnRenamed("label", "batch")
     return neighbors.knn(held, held, 3, within="batch").select("query", "batch", "neighbour", "rank")
 
@@ -443,7 +419,10 @@ def svd(spark, sf_dir):
 
 @query()
 def infog_svd(spark, sf_dir):
-    scores, _, _ = decompose.svd(_infog(spark, sf_dir).select("cell", "feat", F.col("z").alias("x")), 10)
+    """INFOG, then the most variable features, then the decomposition."""
+    z = stored(_infog(spark, sf_dir), "infog")
+    best = stored(normalize.highly_variable(_moments(spark, sf_dir, z), 3000).select("feat"), "variable")
+    scores, _, _ = decompose.svd(z.join(small(best), "feat", "left_semi").select("cell", "feat", F.col("z").alias("x")), 10)
     return scores.select("cell", F.transform("vec", lambda x: F.round(x, DIGITS)).alias("vec"))
 
 
@@ -498,24 +477,15 @@ _DRAWN = "(('0x' || substr(md5(concat_ws('|', ligand, receptor, i, '{}', 1927)),
     pt AS MATERIALIZED (SELECT feat, round(mean, 9) AS mean, round(var, 9) AS var FROM v),
     nn AS MATERIALIZED (SELECT a.feat, b.feat AS neighbour, row_number() OVER (PARTITION BY a.feat ORDER BY round(sqrt((a.mean - b.mean) ** 2 + (a.var - b.var) ** 2), 9), b.feat) AS rank
       FROM pt a JOIN pt b ON a.feat <> b.feat WHERE a.feat IN (SELECT ligand FROM sc UNION SELECT receptor FROM sc) QUALIFY rank <= 30),
-    dr AS (SELECT ligand, receptor, {_DRAWN.format('ligand')} AS lk, {_DRAWN.format('receptor')} AS rk FROM (SELECT DISTINCT ligand, receptor FROM sc), range(0, 20) t(i)),
+    dr AS (SELECT ligand, receptor, {_DRAWN.format('ligand')} AS lk, {_DRAWN.format('receptor')} AS rk FROM (SELECT DISTINCT ligand, receptor FROM sc), range(0, 1000) t(i)),
     nv AS (SELECT ligand, receptor, a.grp AS sender, b.grp AS receiver, round(a.score * b.score, 12) AS nv FROM dr JOIN nn x ON x.feat = ligand AND x.rank = lk JOIN nn y ON y.feat = receptor AND y.rank = rk JOIN cs a ON a.feat = x.neighbour JOIN cs b ON b.feat = y.neighbour),
     ov AS (SELECT ligand, receptor, sender, receiver, count(*) AS k FROM sc JOIN nv USING (ligand, receptor, sender, receiver) WHERE nv >= round(score, 12) GROUP BY 1, 2, 3, 4),
-    ps AS (SELECT sc.*, (coalesce(k, 0) + 1.0::DOUBLE) / 21.0::DOUBLE AS p_value FROM sc LEFT JOIN ov USING (ligand, receptor, sender, receiver)),
+    ps AS (SELECT sc.*, (coalesce(k, 0) + 1.0::DOUBLE) / 1001.0::DOUBLE AS p_value FROM sc LEFT JOIN ov USING (ligand, receptor, sender, receiver)),
     r AS (SELECT *, round(p_value, 6) * count(*) OVER (PARTITION BY sender, receiver) / row_number() OVER (PARTITION BY sender, receiver ORDER BY round(p_value, 6), ligand, receptor, annotation) AS raw FROM ps)
     SELECT ligand, receptor, annotation, sender, receiver, round(p_value, 6) AS p_value,
       round(least(1.0::DOUBLE, min(raw) OVER (PARTITION BY sender, receiver ORDER BY round(p_value, 6), ligand, receptor, annotation ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_value_fdr FROM r"""
 )
 def ligand_receptor_p(spark, sf_dir):
-    z = stored(_infog(spark, sf_dir), "infog")
-    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"), F.col("p_type").alias("annotation"))
-    found = markers.ligand_receptor_p(stored(_cosg(spark, sf_dir, z), "specificity"), pairs, _moments(spark, sf_dir, z), draws=20)
-    return rounded(found.select("ligand", "receptor", "annotation", "sender", "receiver", "p_value", "p_value_fdr"), "p_value", "p_value_fdr")
-
-
-@query()
-def ligand_receptor_p_every_draw(spark, sf_dir):
-    """With the operator's own number of draws; no SQL, tests compare it with brute force."""
     z = stored(_infog(spark, sf_dir), "infog")
     pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"), F.col("p_type").alias("annotation"))
     found = markers.ligand_receptor_p(stored(_cosg(spark, sf_dir, z), "specificity"), pairs, _moments(spark, sf_dir, z))

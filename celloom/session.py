@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of a batch that a Python worker gets at once, so that its memory does not follow the length of the texts.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
-#: Rows up to which a narrow table (a few numbers a row) is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a narrow table (a few numbers a row) is broadcast, and bytes where the width of a row is told; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,7 +28,6 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
@@ -55,10 +54,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or on one machine (tests) a folder of our own where it
+    is unset. On a cluster without the setting this raises, as executors could not read each other's files."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_celloom_shared", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = sc._celloom_shared = f"file://{tempfile.mkdtemp(prefix='celloom-shared-')}"
     return folder.rstrip("/")
 
@@ -87,8 +89,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows, else df as it is. Give it stored or tiny tables."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, width: int | None = None) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most so many rows, else df as it is. Give it stored or tiny tables.
+
+    width is the bytes of a row in memory, if they are more than a few numbers take.
+    """
+    rows = rows if width is None else min(rows, BROADCAST_BYTES // width)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from celloom.operators.stats import ranks
+from celloom.session import small, stored
+
 #: Feature types of the modalities.
 MODALITIES = {"rna": ["Gene Expression"], "atac": ["Peaks"], "adt": ["Antibody Capture"], "hto": ["Antibody Capture", "Multiplexing Capture"], "crispr": ["CRISPR Guide Capture"]}
 
@@ -16,9 +19,13 @@ def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines of a small text file with their numbers from 0; read whole, as order has no meaning across splits."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
+    """(line, value): lines of a text file with their numbers from 0, counted within the blocks that tasks read; only one count a block is summed in one place."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    held = stored(lines, "lines")
+    sizes = held.groupBy("file", "block").agg(F.count("*").alias("n"))
+    begins = sizes.select("file", "block", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return held.join(F.broadcast(begins), ["file", "block"]).select((F.col("begin") + place - 1).cast("long").alias("line"), "value")
 
 
 def read_mtx(spark: SparkSession, matrix: str, barcodes: str, features: str, modality: str | None = "rna", prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -41,6 +48,49 @@ def read_mtx(spark: SparkSession, matrix: str, barcodes: str, features: str, mod
     return rows.join(feats.select("feat"), "feat", "left_semi").select("cell", "feat", "x"), cells, feats
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _first(spark: SparkSession, folder: str, names: list[str]) -> str | None:
+    return next((f"{folder}/{n}{end}" for n in names for end in ("", ".gz") if _exists(spark, f"{folder}/{n}{end}")), None)
+
+
+def read_10x(spark: SparkSession, path: str, modality: str | None = "rna", prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_mtx() of a folder: one with matrix.mtx, barcodes.tsv and features.tsv or genes.tsv (gz or not), or one that holds such a
+    folder, the filtered one before the raw one. HDF5 files raise, as does a folder without these files."""
+    if path.endswith((".h5", ".hdf5")):
+        raise ValueError("HDF5 is not read; give the folder with matrix.mtx")
+    folders = [path, *(f"{path}/{outs}{kind}_feature_bc_matrix" for outs in ("", "outs/") for kind in ("filtered", "raw"))]
+    for folder in folders:
+        parts = [_first(spark, folder, names) for names in (["matrix.mtx"], ["barcodes.tsv"], ["features.tsv", "genes.tsv"])]
+        if all(parts):
+            return read_mtx(spark, *parts, modality, prefix)
+    raise FileNotFoundError(f"no matrix.mtx, barcodes.tsv and features.tsv in {', '.join(folders)}")
+
+
+def read_samples(spark: SparkSession, paths: list[str], modality: str | None = "rna") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, cells, features) of several folders under one numbering; they must list the same features, else this raises."""
+    read = [read_10x(spark, p, modality) for p in paths]
+    first = read[0][2]
+    for path, (_, _, features) in zip(paths[1:], read[1:], strict=True):
+        if first.select("feat", "id").exceptAll(features.select("feat", "id")).limit(1).count() or features.select("feat", "id").exceptAll(first.select("feat", "id")).limit(1).count():
+            raise ValueError(f"{path} lists other features than {paths[0]}")
+    entries, cells = merge_samples([(e, c) for e, c, _ in read])
+    return entries, cells, first
+
+
+def write_mtx(entries: DataFrame, cells: DataFrame, features: DataFrame, folder: str) -> None:
+    """A folder that read_10x() reads: entries(cell, feat, x) with places from 0, cells(cell, barcode), features(feat, id, symbol, type)."""
+    sizes = [df.count() for df in (features, cells, entries)]
+    body = entries.select(F.concat_ws(" ", F.col("feat") + 1, F.col("cell") + 1, F.col("x")).alias("value"), F.lit(1).alias("at"))
+    head = entries.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general", -1), (" ".join(map(str, sizes)), 0)], "value string, at int")
+    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(f"{folder}/matrix.mtx")
+    cells.coalesce(1).sortWithinPartitions("cell").select("barcode").write.mode("overwrite").text(f"{folder}/barcodes.tsv")
+    features.coalesce(1).sortWithinPartitions("feat").select(F.concat_ws("\t", "id", "symbol", "type")).write.mode("overwrite").text(f"{folder}/features.tsv")
+
+
 def merge_samples(samples: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """(entries, cells) of several samples under new cell ids (sample, cell); barcodes get the sample's number from 0 as a suffix."""
     key = lambda i: F.concat_ws(":", F.lit(i), F.col("cell"))
@@ -56,8 +106,8 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     lines = numbered_lines(spark, path).where(~F.col("value").startswith("#") & ~F.col("value").startswith("track") & (F.size(parts) >= 3))
     held = lines.select("line", parts[0].alias("chrom"), parts[1].try_cast("long").alias("p_start"), parts[2].try_cast("long").alias("p_end")).where("p_start < p_end")
-    held = held.withColumn("peak", F.row_number().over(Window.orderBy("line")) - 1)
-    return held.select("chrom", "p_start", "p_end", "peak", F.concat(F.col("chrom"), F.lit(":"), F.col("p_start"), F.lit("-"), F.col("p_end")).alias("name"))
+    places = ranks(held, "line", F.lit(1)).select("line", F.col("below0").alias("peak"))
+    return held.join(places, "line").select("chrom", "p_start", "p_end", "peak", F.concat(F.col("chrom"), F.lit(":"), F.col("p_start"), F.lit("-"), F.col("p_end")).alias("name"))
 
 
 def read_regulatory_elements(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
@@ -78,7 +128,7 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 
 def remap_chromosomes(df: DataFrame, names: DataFrame, chrom: str = "chrom") -> DataFrame:
     """chrom replaced by names(source, target); rows without a target are dropped."""
-    return df.join(F.broadcast(names.limit(1_000_000)), F.col(chrom) == F.col("source")).withColumn(chrom, F.col("target")).drop("source", "target")
+    return df.join(small(names), F.col(chrom) == F.col("source")).withColumn(chrom, F.col("target")).drop("source", "target")
 
 
 def ensembl_to_ucsc(chrom: Column) -> Column:

@@ -57,7 +57,7 @@ def brute_hits(odds, seq, threshold):
         for i in range(len(seq) - m.shape[1] + 1):
             s = sum(m["ACGT".index(c), j] if c in "ACGT" else m[:, j].min() for j, c in enumerate(seq[i : i + m.shape[1]].upper()))
             if s >= threshold:
-                out.append((i, strand, s))
+                out.append((i if strand == "+" else len(seq) - m.shape[1] - i, strand, s))
     return out
 
 
@@ -116,6 +116,8 @@ def test_doublets_among_two_types(spark):
     assert (score[120:, None] > score[None, :120]).mean() > 0.95
     with pytest.raises(ValueError):
         doublets.find(df, cells.limit(10))
+    both = doublets.find(df.unionByName(df.withColumn("cell", df.cell + 1000)), cells.withColumn("lib", stats.F.lit("a")).unionByName(cells.select((stats.F.col("cell") + 1000).alias("cell")).withColumn("lib", stats.F.lit("b"))), components=5, library="lib")
+    assert both.count() == 260
 
 
 def test_marker_queries(spark):
@@ -137,14 +139,14 @@ def test_provenance(spark, tmp_path):
 
 
 def test_every_batch_is_searched(spark):
-    found = catalog.queries()["knn_every_batch"](spark, SF).toPandas()
+    found = catalog.queries()["knn_across_batches"](spark, SF).toPandas()
     points = model.points(spark, SF).toPandas()
     counts = points.label.value_counts()
     assert len(found) == sum(min(3, n - (label == own)) for own in points.label for label, n in counts.items())
 
 
 def test_every_feature_is_in_the_dot_plot(spark):
-    dots = catalog.queries()["dotplot_every_feature"](spark, SF).toPandas()
+    dots = catalog.queries()["dotplot"](spark, SF).toPandas()
     assert set(dots.feat) == {r.feat for r in model.entries(spark, SF).select("feat").distinct().collect()} and dots.feat.max() > 50
 
 
@@ -162,7 +164,7 @@ def test_ligand_receptor_p_of_all_draws(spark, monkeypatch):
     monkeypatch.setattr(catalog, "table", lambda *_: pairs)
     near = {f: sorted((o for o in feats if o != f), key=lambda o: (round(math.dist([round(x, 9) for x in moments[f]], [round(x, 9) for x in moments[o]]), 9), o))[:30] for f in (1, 2, 7, 8)}
     pick = lambda *parts: int(md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) % 30
-    found = {(r.ligand, r.sender, r.receiver): r.p_value for r in catalog.queries()["ligand_receptor_p_every_draw"](spark, SF).collect()}
+    found = {(r.ligand, r.sender, r.receiver): r.p_value for r in catalog.queries()["ligand_receptor_p"](spark, SF).collect()}
     assert len(found) == 8
     for (a, sender, receiver), p in found.items():
         drawn = [(near[a][pick(a, a + 1, i, "ligand", 1927)], near[a + 1][pick(a, a + 1, i, "receptor", 1927)]) for i in range(1000)]

@@ -2,7 +2,7 @@ import oracle
 import pytest
 from conftest import SF
 
-from celloom.plans import catalog
+from celloom.plans import catalog, files, tidy  # noqa: F401
 
 SQL = catalog.oracle_sql()
 
