@@ -20,6 +20,8 @@ WINDOW = 1024
 END = 0
 #: Documents and tokens of a shard of the index; a longer document is a shard of its own.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
+#: The inverse share of a shard's documents from which a term counts as common.
+DENSE = 4
 #: Terms drawn for a document's place in the corpus.
 PLACES = 4
 K1, B = 1.2, 0.75
@@ -33,17 +35,16 @@ def _draws() -> np.ndarray:
     return -np.log(uniform) / np.log(2 + ids.astype(float) / 256) ** 2
 
 
-def places(docs: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
-    """A number for each document whose order brings alike ones together: the drawn terms' hashes, 16 bits each, first draw first.
+def places(parts: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
+    """A number for each document, given by its terms, whose order brings alike ones together: the drawn terms' hashes, 16 bits each.
 
     Two documents draw the same term with a chance of their weighted Jaccard, so documents that share many rare terms share leading
     bits, and copies share all.
     """
-    parts = [np.unique(d) for d in docs]
     begin = np.cumsum([0, *map(len, parts[:-1])])
     terms = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-    out = np.zeros(len(docs), np.uint64)
-    for costs in draws if len(docs) else ():
+    out = np.zeros(len(parts), np.uint64)
+    for costs in draws if len(parts) else ():
         own = costs[terms]
         first = np.flatnonzero(own == np.repeat(np.minimum.reduceat(own, begin), [len(p) for p in parts]))
         drawn = terms[first[np.searchsorted(first, begin)]].astype(np.uint64)
@@ -61,9 +62,10 @@ def tokenized(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
         encoder, df, draws = Encoder.at(path), np.zeros(1 << 16, np.int64), _draws()
         for batch in batches:
             ids = [np.append(x, np.uint16(END)) for x in encoder.encode(list(batch.text))]
-            for x in ids:
-                df[np.unique(x)] += 1
-            yield pd.DataFrame({"key": batch.key, "ids": [x.tobytes() for x in ids], "place": places(ids, draws), "kind": "doc"})
+            terms = [np.unique(x) for x in ids]
+            for x in terms:
+                df[x] += 1
+            yield pd.DataFrame({"key": batch.key, "ids": [x.tobytes() for x in ids], "place": places(terms, draws), "kind": "doc"})
         terms = np.flatnonzero(df)
         yield pd.DataFrame({"key": [None], "ids": [np.stack([terms, df[terms]], 1).tobytes()], "place": [0], "kind": ["df"]})
 
@@ -86,7 +88,11 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of one shard: postings of (document, BM25 weight) by term, and each document's distinct terms."""
+    """The inverted index of one shard: postings of (document, BM25 weight) by term, and each document's distinct terms.
+
+    A term that at least 1 / DENSE of the documents have is a row of a matrix over all documents instead, which takes at most DENSE
+    times the room of its postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float):
         parts = [np.unique(d, return_counts=True) for d in docs]
@@ -97,16 +103,37 @@ class Index:
         length = np.array([len(d) for d in docs], np.float64)[doc]
         idf = np.log1p((total - df[term] + 0.5) / (df[term] + 0.5))
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
-        by_term = np.argsort(term, kind="stable")
-        self.n, self.doc, self.weight = len(docs), doc[by_term], weight[by_term]
-        self.begin = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
-        self.terms = [t for t, _ in parts]
+        self.n, self.terms, self.held = len(docs), [t for t, _ in parts], np.arange(len(docs))
+        common = np.flatnonzero(np.bincount(term, minlength=1 << 16) * DENSE >= len(docs))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        own = self.row[term] >= 0
+        self.dense = np.zeros((len(common), len(docs)))
+        self.dense[self.row[term[own]], doc[own]] = weight[own]
+        order = np.flatnonzero(~own)[np.argsort(term[~own], kind="stable")]
+        self._keep(doc[order], weight[order], term[order])
+
+    def _keep(self, doc: np.ndarray, weight: np.ndarray, term: np.ndarray) -> None:
+        self.doc, self.weight, self.term = doc, weight, term
+        self.begin = np.searchsorted(term, np.arange((1 << 16) + 1))
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Forgets used documents once a quarter of those held are used; no result depends on it."""
+        left = unused[self.held]
+        if left.sum() <= len(left) * 3 // 4:
+            self.held, self.dense = self.held[left], self.dense[:, left]
+            keep = unused[self.doc]
+            self._keep(self.doc[keep], self.weight[keep], self.term[keep])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents that share a term with the seed, best first, ties by place."""
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in self.terms[seed]]
-        doc = np.concatenate([self.doc[s] for s in spans])
-        score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n)
+        terms = self.terms[seed].astype(np.int64)
+        rows = self.row[terms]
+        terms = terms[rows < 0]
+        first, sizes = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float64)
+        score[self.held] += self.dense[rows[rows >= 0]].sum(0)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -145,6 +172,7 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, total: int, mean: float,
 
         yield put(seed, window)
         if at < window:
+            index.shrink(unused)
             found = index.neighbours(seed, unused)
             for i in found[left[found] <= window - at]:
                 if left[i] <= window - at:
