@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,6 +29,16 @@ PLACES = 4
 K1, B = 1.2, 0.75
 
 
+def release() -> None:
+    """Gives back what a worker kept from tokenising: the encoder and freed memory."""
+    Encoder._made.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _draws() -> np.ndarray:
     """A cost of each id for each of PLACES draws: exponential, by a weight that rises with the id, as ids of rare pieces are high."""
     ids = np.arange(1 << 16, dtype=np.uint64)
@@ -97,12 +109,12 @@ class Index:
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float):
         parts = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(t) for t, _ in parts])
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        term = np.concatenate([t for t, _ in parts]).astype(np.int64)
-        tf = np.concatenate([c for _, c in parts]).astype(np.float64)
-        length = np.array([len(d) for d in docs], np.float64)[doc]
-        idf = np.log1p((total - df[term] + 0.5) / (df[term] + 0.5))
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1.0)))
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        term = np.concatenate([t for t, _ in parts]).astype(np.uint16)
+        weight = np.concatenate([c for _, c in parts]).astype(np.float64)
+        length = K1 * (1 - B + B * np.array([len(d) for d in docs], np.float64) / max(mean, 1.0))
+        weight *= (K1 + 1) / (weight + length[doc])
+        weight *= np.log1p((total - df + 0.5) / (df + 0.5))[term]
         self.n, self.terms, self.held = len(docs), [t for t, _ in parts], np.arange(len(docs))
         common = np.flatnonzero(np.bincount(term, minlength=1 << 16) * DENSE >= len(docs))
         self.row = np.full(1 << 16, -1)
@@ -115,7 +127,7 @@ class Index:
 
     def _keep(self, doc: np.ndarray, weight: np.ndarray, term: np.ndarray) -> None:
         self.doc, self.weight, self.term = doc, weight, term
-        self.begin = np.searchsorted(term, np.arange((1 << 16) + 1))
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def shrink(self, unused: np.ndarray) -> None:
         """Forgets used documents once a quarter of those held are used; no result depends on it."""
@@ -193,7 +205,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of every document, packed into windows.
 
     The ids are made once and stored, then the documents are dealt by content: in the order of their places(), whatever their files,
-    alike documents lie together. Stretches of this order are the shards of the index, of which a task holds one at a time, with
+    alike documents lie together. Ranges of this order are the shards of the index, of which a task holds one at a time, with
     document counts over the whole corpus. A seed has neighbours in its own shard only. A null text is an empty document of one id,
     the end. Rows with equal or null keys are documents of their own; equal texts lie side by side, over several shards where they
     are many. Documents of any length are packed whole. Only the last sequence of a shard may be short. An empty table gives no
@@ -208,14 +220,19 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         frequencies, total, mean = shared.value
         sequence = TaskContext.get().partitionId() << 36
         keys: list[str | None] = []
         rows: list[np.ndarray] = []
+        order: list[tuple[int, int]] = []
 
         def flush() -> pd.DataFrame:
             nonlocal sequence
             out, last = [], -1
+            by = sorted(range(len(rows)), key=order.__getitem__)  # whatever order the rows came in
+            keys[:], rows[:] = [keys[i] for i in by], [rows[i] for i in by]
+            order.clear()
             for i, start, length, own, offset in pack_shard(rows, frequencies, total, mean):
                 piece = rows[i][start : start + length].astype("<u4")
                 out.append((keys[i], start, length, crc32(piece.tobytes()), len(rows[i]), sequence + own, offset))
@@ -227,8 +244,9 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
         size = 0
         for batch in batches:
-            for own, ids in zip(batch.key, batch.ids, strict=True):
+            for own, ids, place, tie in zip(batch.key, batch.ids, batch.place, batch.tie, strict=True):
                 keys.append(own)
+                order.append((place, tie))
                 rows.append(np.frombuffer(ids, np.uint16))
                 size += len(rows[-1])
                 if len(rows) >= SHARD_DOCS or size >= SHARD_TOKENS:
@@ -237,9 +255,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         if rows:
             yield flush()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count[0] // (4 * SHARD_DOCS)))
-    parts = max(1, min(parts, count[0] // SHARD_DOCS))
-    order = ["place", F.xxhash64("key", "ids")]
-    dealt = held.where("kind = 'doc'").select("key", "ids", "place").repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    pieces = dealt.select("key", "ids").mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    parts = max(1, -(-count[0] // SHARD_DOCS))
+    dealt = held.where("kind = 'doc'").select("key", "ids", "place", F.xxhash64("key", "ids").alias("tie")).repartitionByRange(parts, "place", "tie")
+    pieces = dealt.mapInPandas(run, "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.select(F.col("key").cast(kind).alias(key), *names[1:])
