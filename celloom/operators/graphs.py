@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +42,13 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, lev
     directions. groups(node, grp), if given, hold all nodes; no edge joins two groups, and each has its own total weight. At the end
     a community that is not connected is divided into its connected parts, which never lowers the modularity. Labels differ from
     other implementations.
+
+    A graph of at most SMALL edges is divided by the driver in the same way, but node by node, which takes fewer passes.
     """
     whole = stored(both_ways(edges), "graph")
+    if whole.limit(2 * SMALL + 1).count() <= 2 * SMALL:
+        named = _of_small(whole, groups, resolution, levels)
+        return _numbered(_joined(whole, named))
     strength = whole.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
     owned = strength.join(groups, "node") if groups is not None else strength.withColumn("grp", F.lit(0))
     totals = owned.groupBy("grp").agg(F.sum("k").alias("m"))
@@ -78,14 +84,89 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, lev
         scale = stored(state.groupBy(F.col("c").alias("node")).agg(F.max("m").alias("m")), "graph-scale")
         ends = level.join(state.select(F.col("node").alias("a"), F.col("c").alias("u")), "a").join(state.select(F.col("node").alias("b"), F.col("c").alias("v")), "b")
         level = stored(ends.groupBy(F.col("u").alias("a"), F.col("v").alias("b")).agg(F.sum("weight").alias("weight")), "graph")
+    return _numbered(_joined(whole, named))
+
+
+def _joined(whole: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, label) with each label divided into its connected parts."""
     inside = whole.join(named.toDF("a", "la"), "a").join(named.toDF("b", "lb"), "b").where("la = lb").select("a", "b")
     parts = connected(inside).toDF("node", "part")
-    named = stored(named.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("label")), "labels")
+    return stored(named.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("label")), "labels")
+
+
+def _numbered(named: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("n").desc(), "first")
     ids = named.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("first")).select("label", (F.row_number().over(order) - 1).alias("community"))
     return named.join(small(stored(ids, "graph-ids")), "label").select("node", "community")
 
 
+#: Most edges of a graph that the driver divides by itself.
+SMALL = 500_000
+
+
+def _of_small(whole: DataFrame, groups: DataFrame | None, resolution: float, levels: int) -> DataFrame:
+    """(node, label) of a small graph."""
+    spark = whole.sparkSession
+    held = whole.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("w")).orderBy("a", "b").toArrow()
+    a, b, w = (held[c].to_numpy() for c in "abw")
+    nodes = np.unique(a)
+    of = np.zeros(len(nodes), np.int64)
+    if groups is not None and len(nodes):
+        ids = spark.createDataFrame(pa.table({"node": nodes}))
+        told = groups.join(ids, "node", "left_semi").select("node", F.dense_rank().over(Window.orderBy("grp")).alias("g")).toArrow()
+        of[np.searchsorted(nodes, told["node"].to_numpy())] = told["g"].to_numpy()
+    label = divide(np.searchsorted(nodes, a), np.searchsorted(nodes, b), w, of, resolution, levels)
+    return stored(spark.createDataFrame(pa.table({"node": nodes, "label": nodes[label] if len(nodes) else nodes}), "node long, label long"), "labels")
+
+
+def divide(a: np.ndarray, b: np.ndarray, w: np.ndarray, group: np.ndarray, resolution: float = 1.0, levels: int = 5) -> np.ndarray:
+    """Each node's community, named by one of its nodes; edges in both directions, nodes from 0, no edge between two groups.
+
+    Nodes whose neighbours moved are looked at again until none moves to a better community; then communities become nodes.
+    """
+    n = len(group)
+    out = np.arange(n)
+    total = np.bincount(group[a], w, int(group.max()) + 1 if n else 1) if n else np.zeros(1)
+    scale = total[group] if n else np.zeros(0)
+    for _ in range(levels):
+        size = len(scale)
+        inside = a == b
+        near: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+        for i, j, x in zip(a[~inside].tolist(), b[~inside].tolist(), w[~inside].tolist(), strict=True):
+            near[i].append((j, x))
+        k = np.bincount(a, w, size).tolist()
+        m, own, held, moved = scale.tolist(), list(range(size)), list(k), False
+        queue, waits = list(range(size)), [True] * size
+        at = 0
+        while at < len(queue):
+            i = queue[at]
+            at += 1
+            waits[i] = False
+            here = own[i]
+            held[here] -= k[i]
+            found = {here: 0.0}
+            for j, x in near[i]:
+                found[own[j]] = found.get(own[j], 0.0) + x
+            best = min(found, key=lambda c: (-round(found[c] - resolution * k[i] * held[c] / m[i], 9), c != here, c))
+            held[best] += k[i]
+            if best != here:
+                own[i], moved = best, True
+                for j, _ in near[i]:
+                    if own[j] != best and not waits[j]:
+                        waits[j] = True
+                        queue.append(j)
+        if not moved:
+            break
+        names, short = np.unique(own, return_inverse=True)
+        out = short[out]
+        scale = scale[names]
+        key, back = np.unique(short[a] * len(names) + short[b], return_inverse=True)
+        a, b, w = key // len(names), key % len(names), np.bincount(back, w)
+    first = np.full(int(out.max()) + 1 if n else 0, n)
+    np.minimum.at(first, out, np.arange(n))
+    return first[out]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's connected part, of edges(a, b) given in both directions.
 

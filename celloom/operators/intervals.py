@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,20 @@ def near_points(intervals: DataFrame, points: DataFrame, window: int) -> DataFra
 def quantify(fragments: DataFrame, peaks: DataFrame) -> DataFrame:
     """(cell, peak, n): fragments of each cell over each peak."""
     return overlaps(fragments, peaks).groupBy("cell", "peak").agg(F.count("*").alias("n"))
+
+
+def encode_blocks(fragments: DataFrame, rows: int = 1000) -> DataFrame:
+    """(chrom, block, k, delta, length, cell): fragments in the order of their starts, in blocks of so many rows of a chromosome; the
+    first start of a block stands whole, the others as distances from the one before. Empty chromosomes have no block."""
+    order = Window.partitionBy("chrom").orderBy("start", "end", "cell")
+    placed = fragments.withColumn("__at", F.row_number().over(order) - 1)
+    placed = placed.select("chrom", F.floor(F.col("__at") / rows).alias("block"), (F.col("__at") % rows).cast("int").alias("k"), "start", "end", "cell")
+    inside = Window.partitionBy("chrom", "block").orderBy("k")
+    delta = F.col("start") - F.coalesce(F.lag("start").over(inside), F.lit(0))
+    return placed.select("chrom", "block", "k", delta.alias("delta"), (F.col("end") - F.col("start")).alias("length"), "cell")
+
+
+def decode_blocks(blocks: DataFrame) -> DataFrame:
+    """(chrom, start, end, cell) of encode_blocks()'s rows; each block is decoded by itself."""
+    start = F.sum("delta").over(Window.partitionBy("chrom", "block").orderBy("k"))
+    return blocks.withColumn("start", start).select("chrom", "start", (F.col("start") + F.col("length")).alias("end"), "cell")

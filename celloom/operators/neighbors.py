@@ -174,3 +174,98 @@ def fuzzy_graph(near: DataFrame, k: int) -> DataFrame:
     both = directed.unionByName(directed.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     u, v = F.max("weight"), F.min("weight")
     return both.groupBy("a", "b").agg(F.when(F.count("*") > 1, u + v - u * v).otherwise(u).alias("weight")).where("weight > 0")
+
+
+#: Most points that the centres of lists are fitted on: those with the smallest hashes of their ids.
+FIT_POINTS = 20_000
+
+
+#: Queries by which the number of probes is measured.
+FIT_QUERIES = 200
+
+
+def centres(points: DataFrame, lists: int, key: str = "id", vector: str = "vec", rounds: int = 8, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The means of so many lists (or as many as there are fitted points), by rounds of assignment over a bounded sample; and that sample."""
+    some = points.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(FIT_POINTS).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    x = np.array([r["v"] for r in some])
+    if not len(x):
+        return np.zeros((0, 1)), np.zeros((0, 1))
+    own = x[np.random.default_rng(seed).permutation(len(x))[: min(lists, len(x))]].copy()
+    for _ in range(rounds):
+        near = ((x**2).sum(1)[:, None] - 2 * x @ own.T + (own**2).sum(1)).argmin(1)
+        sizes = np.bincount(near, minlength=len(own))
+        sums = np.zeros_like(own)
+        np.add.at(sums, near, x)
+        own[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
+    return own, x
+
+
+def probes_for(x: np.ndarray, own: np.ndarray, k: int, recall: float) -> int:
+    """The fewest of the nearest lists among which a query of the sample finds this share of its k nearest other points of the sample."""
+    if len(x) < 2:
+        return 1
+    q = x[:FIT_QUERIES]
+    d = (x**2).sum(1) - 2 * q @ x.T
+    d[np.arange(len(q)), np.arange(len(q))] = np.inf
+    near = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
+    held = ((own**2).sum(1) - 2 * x @ own.T).argmin(1)
+    order = np.argsort(np.argsort((own**2).sum(1) - 2 * q @ own.T, axis=1), axis=1)
+    places = np.sort(np.take_along_axis(order, held[near], 1).ravel())
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1
+
+
+def knn_lists(points: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, recall: float = 0.95, key: str = "id", vector: str = "vec", skip_self: bool = True, digits: int = 9, seed: int = 0) -> DataFrame:
+    """(query, neighbour, rank, distance): the k nearest points of each query among those in its `probes` nearest lists, by inverted
+    lists around fitted centres; distances are exact, at so many digits, ties by the smaller id.
+
+    Every point is in the list of its nearest centre; there are as many lists as the root of the number of points unless told, and as
+    many probes as a sample of queries needs for the recall. Unlike knn() it does not compare every pair: a query meets about probes / lists of the points, and may miss neighbours in other lists.
+    A list is dealt into blocks of at most about BLOCK points, so a large one is compared by many tasks.
+    """
+    spark = points.sparkSession
+    ship(spark)
+    n = points.count()
+    middles, sample = centres(points, lists or max(1, round(n**0.5)), key, vector, seed=seed)
+    probes = probes or probes_for(sample, middles, max(1, min(k, round(k * len(sample) / max(n, 1)))), recall)
+    told = spark.sparkContext.broadcast(middles)
+
+    def assign(most: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = told.value
+            for batch in batches:
+                if not len(batch) or not len(own):
+                    continue
+                x = np.stack(batch.v)
+                d = (own**2).sum(1) - 2 * x @ own.T
+                near = np.argsort(d, axis=1, kind="stable")[:, :most]
+                rows = np.repeat(np.arange(len(batch)), near.shape[1])
+                yield pd.DataFrame({"i": batch.i.to_numpy()[rows], "v": [batch.v.iloc[r] for r in rows], "list": near.ravel().astype(np.int32)})
+
+        return run
+
+    plain = lambda df: df.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    placed = stored(plain(points).mapInPandas(assign(1), "i long, v array<double>, list int"), "knn-points")
+    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks)  # one row a list, at most as many as the centres that every task has
+    right = placed.join(blocks, "list").select("i", "v", F.lit(False).alias("q"), "list", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int").alias("block"))
+    left = plain(queries).mapInPandas(assign(probes), "i long, v array<double>, list int").join(blocks, "list")
+    left = left.select("i", "v", F.lit(True).alias("q"), "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, ps = pdf[pdf.q], pdf[~pdf.q].sort_values("i")
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+        if len(qs) and len(ps):
+            y, ids = np.stack(ps.v), ps.i.to_numpy()
+            for at in range(0, len(qs), 256):
+                x, own = np.stack(qs.v[at : at + 256]), qs.i.to_numpy()[at : at + 256]
+                d = np.round(np.sqrt(sum((x[:, None, j] - y[None, :, j]) ** 2 for j in range(x.shape[1]))), digits)
+                if skip_self:
+                    d[own[:, None] == ids[None]] = np.inf
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query": np.repeat(own, order.shape[1]), "neighbour": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found.distance)]
+
+    near = right.unionByName(left).groupBy("list", "block").applyInPandas(best, "query long, neighbour long, distance double")
+    w = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

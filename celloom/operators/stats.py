@@ -21,23 +21,23 @@ def bh(df: DataFrame, p: str, by: list[str] | None = None, key: list[str] | None
     other ranges of a group it gets two numbers each, the rows before and the least rate behind, so no task sees a whole group.
     """
     own = by or []
-    keys = [f"__k{i}" for i in range(len(own))]
-    told = df.where(F.col(p).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(own, keys, strict=True)], F.col(p).alias("__p"))
-    held = told.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
-    held = stored(held.repartitionByRange(*keys, "__p").withColumn("__part", F.spark_partition_id()), "bh-values")
+    keys = [f"__bh_k{i}" for i in range(len(own))]
+    told = df.where(F.col(p).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(own, keys, strict=True)], F.col(p).alias("__bh_p"))
+    held = told.groupBy(*keys, "__bh_p").agg(F.count("*").alias("__n"))
+    held = stored(held.repartitionByRange(*keys, "__bh_p").withColumn("__part", F.spark_partition_id()), "bh-values")
     held = held.withColumn("__g", F.struct(*keys, F.col("__part").alias("part")))
     of = Window.partitionBy(*keys)
     sizes = held.groupBy(*keys, "__part", "__g").agg(F.sum("__n").alias("__size"))
     sizes = sizes.select("__g", (F.sum("__size").over(of.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(of).alias("__of"))
     inside = Window.partitionBy("__g")
-    raw = _same(held, sizes).withColumn("__up", F.sum("__n").over(inside.orderBy("__p")))
-    raw = raw.withColumn("__raw", F.col("__p") * F.col("__of") / (F.col("__before") + F.col("__up")))
-    raw = stored(raw.select(*keys, "__part", "__g", "__p", F.min("__raw").over(inside.orderBy(F.col("__p").desc())).alias("__least")), "bh-rates")
+    raw = _same(held, sizes).withColumn("__up", F.sum("__n").over(inside.orderBy("__bh_p")))
+    raw = raw.withColumn("__raw", F.col("__bh_p") * F.col("__of") / (F.col("__before") + F.col("__up")))
+    raw = stored(raw.select(*keys, "__part", "__g", "__bh_p", F.min("__raw").over(inside.orderBy(F.col("__bh_p").desc())).alias("__least")), "bh-rates")
     behind = raw.groupBy(*keys, "__part", "__g").agg(F.min("__least").alias("__m"))
     behind = behind.select("__g", F.min("__m").over(of.orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("__behind"))
-    rates = _same(raw, behind).select(*keys, "__p", F.least(F.lit(1.0), "__least", "__behind").alias("fdr"))
+    rates = _same(raw, behind).select(*keys, "__bh_p", F.least(F.lit(1.0), "__least", "__behind").alias("fdr"))
     kept = df.drop("fdr")
-    return kept.join(rates, [F.col(p) == F.col("__p"), *[F.col(c).eqNullSafe(F.col(k)) for c, k in zip(own, keys, strict=True)]], "left").select(*kept.columns, "fdr")
+    return kept.join(rates, [F.col(p) == F.col("__bh_p"), *[F.col(c).eqNullSafe(F.col(k)) for c, k in zip(own, keys, strict=True)]], "left").select(*kept.columns, "fdr")
 
 
 def _same(rows: DataFrame, facts: DataFrame) -> DataFrame:

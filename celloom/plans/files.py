@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from celloom.operators import doublets, graphs, layout, metrics, neighbors, normalize, provenance
+from celloom.operators import doublets, graphs, intervals, layout, metrics, neighbors, normalize, provenance
 from celloom.plans.catalog import BASE, C, query, rounded
 from celloom.session import scratch_path, stored, table
 from celloom.sources import model, tables
@@ -117,3 +117,15 @@ def crosstab_order(spark, sf_dir):
 def doublets_by_library(spark, sf_dir):
     cells = model.cells(spark, sf_dir).withColumn("library", F.col("batch") % 2)
     return rounded(doublets.find(stored(model.entries(spark, sf_dir), "entries"), cells, components=10, library="library"), "doublet_score")
+
+
+@query("SELECT l_suppkey % 5 AS chrom, l_partkey * 50 + l_linenumber * 37 AS start, l_partkey * 50 + l_linenumber * 37 + (l_quantity * 4)::BIGINT AS \"end\", l_orderkey AS cell FROM lineitem")
+def decoded_blocks(spark, sf_dir):
+    return intervals.decode_blocks(stored(intervals.encode_blocks(model.fragments(spark, sf_dir)), "blocks"))
+
+
+@query()
+def knn_lists(spark, sf_dir):
+    """Neighbours by inverted lists; tests measure the recall against all pairs."""
+    held = model.points(spark, sf_dir)
+    return rounded(neighbors.knn_lists(held, held, 15), "distance")

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 def spark():
     from celloom.session import local_session
 
-    session = local_session(8, **{"spark.driver.memory": "6g"})
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), **{"spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -26,7 +26,9 @@ def modularity(edges, label):
     return sum(inside[c] / m2 - (total[c] / m2) ** 2 for c in total)
 
 
-def test_planted_communities_and_modularity(spark):
+@pytest.mark.parametrize("most", [graphs.SMALL, 0])
+def test_planted_communities_and_modularity(spark, monkeypatch, most):
+    monkeypatch.setattr(graphs, "SMALL", most)
     edges = planted()
     df = spark.createDataFrame(edges, "a long, b long, weight double")
     label = {r.node: r.community for r in graphs.communities(df).collect()}
@@ -36,7 +38,9 @@ def test_planted_communities_and_modularity(spark):
     assert graphs.communities(df.limit(0)).count() == 0
 
 
-def test_communities_within_groups(spark):
+@pytest.mark.parametrize("most", [graphs.SMALL, 0])
+def test_communities_within_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(graphs, "SMALL", most)
     edges = spark.createDataFrame(planted(4, 10), "a long, b long, weight double")
     groups = spark.createDataFrame([(i, "xy"[i >= 20]) for i in range(41)], "node long, grp string")
     found = {r.node: r.community for r in graphs.within_groups(edges, groups).collect()}
