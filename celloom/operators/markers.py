@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celloom.operators.neighbors import feature_neighbours
 from celloom.operators.stats import bh, draw, reached
-from celloom.session import small, stored
+from celloom.session import ship, small, stored
 
 
 def cosg(values: DataFrame, cells: DataFrame, group: str, value: str, mu: float = 1.0, expressed: float = 0.0) -> DataFrame:
@@ -103,6 +107,55 @@ def analyse_markers(markers: DataFrame, query: DataFrame, least: int = 1) -> Dat
     return hits.withColumn("rank", F.row_number().over(w))
 
 
+#: Most numbers of the specificities and neighbours that every task gets.
+TABLE = 20_000_000
+
+
+def _reached(scored: DataFrame, near: DataFrame, specificity: DataFrame, neighbours: int, draws: int, seed: int, digits: int) -> DataFrame:
+    """(ligand, receptor, sender, receiver, count): how many draws of a pair reach its score there, compared at so many digits.
+
+    A pair's draws are two arrays of ranks, made with it; each task holds the specificities and the neighbours as arrays and counts a
+    pair's draws at once, so none becomes a row. Over TABLE numbers this raises.
+    """
+    spark = scored.sparkSession
+    ship(spark)
+    known, told = specificity.limit(TABLE + 1).toArrow(), near.limit(TABLE + 1).toArrow()
+    if len(known) + len(told) > TABLE:
+        raise ValueError(f"over {TABLE} specificities and neighbours")
+    feats, at = np.unique(known["feat"].to_numpy(), return_inverse=True)
+    names = sorted(set(known["grp"].to_pylist()))
+    table = np.full((len(feats) + 1, len(names)), np.nan)
+    table[at, np.searchsorted(np.array(names, object), np.array(known["grp"].to_pylist(), object))] = known["score"].to_numpy()
+    owners, own = np.unique(told["feat"].to_numpy(), return_inverse=True)
+    place = np.full((len(owners) + 1, neighbours), len(feats))  # the last row of the table: no specificity
+    found = np.minimum(np.searchsorted(feats, told["neighbour"].to_numpy()), max(len(feats) - 1, 0))
+    place[own, told["rank"].to_numpy() - 1] = np.where(feats[found] == told["neighbour"].to_numpy(), found, len(feats)) if len(feats) else len(feats)
+    shared = spark.sparkContext.broadcast((feats, np.array(names, object), table, owners, place))
+    pick = lambda side: F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: draw(neighbours, F.col("ligand"), F.col("receptor"), i, side, seed))
+    values = scored.groupBy("ligand", "receptor").agg(F.collect_set(F.struct("sender", "receiver", "score")).alias("own"))
+    rows = values.select("ligand", "receptor", F.col("own.sender").alias("senders"), F.col("own.receiver").alias("receivers"), F.col("own.score").alias("scores"), pick("ligand").alias("lk"), pick("receptor").alias("rk"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        feats, names, table, owners, place = shared.value
+
+        def drawn(feat: int, ranks: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(owners, feat)
+            return table[place[k if k < len(owners) and owners[k] == feat else len(owners)][ranks]]
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                left, right = drawn(r.ligand, np.asarray(r.lk)), drawn(r.receptor, np.asarray(r.rk))
+                for sender, receiver, score in zip(r.senders, r.receivers, r.scores, strict=True):
+                    null = np.round(left[:, np.searchsorted(names, sender)] * right[:, np.searchsorted(names, receiver)], digits)
+                    out.append((r.ligand, r.receptor, sender, receiver, int((null >= np.round(score, digits)).sum())))
+            yield pd.DataFrame(out, columns=["ligand", "receptor", "sender", "receiver", "count"])
+
+    kinds = ", ".join(f"{c} {scored.schema[c].dataType.simpleString()}" for c in ("ligand", "receptor", "sender", "receiver"))
+    counts = rows.mapInPandas(run, f"{kinds}, count long")
+    return counts.groupBy("ligand", "receptor", "sender", "receiver").agg(F.max("count").alias("count"))
+
+
 def ligand_receptor_p(specificity: DataFrame, pairs: DataFrame, stats: DataFrame, neighbours: int = 30, draws: int = 1000, seed: int = 1927, threshold: float | None = None, digits: int = 12) -> DataFrame:
     """ligand_receptor()'s rows with p_value, p_value_fdr and nlog10_p_value_fdr.
 
@@ -111,18 +164,10 @@ def ligand_receptor_p(specificity: DataFrame, pairs: DataFrame, stats: DataFrame
     digits; rows at or below the threshold are left out there and get 1. pairs(ligand, receptor, annotation) may repeat.
     """
     scored = stored(ligand_receptor(specificity, pairs), "lr-scores")
-    both = scored.select("ligand", "receptor").distinct()
+    both = stored(scored.select("ligand", "receptor").distinct(), "lr-pairs")
     near = stored(feature_neighbours(stats, both.select(F.col("ligand").alias("feat")).union(both.select("receptor")).distinct(), neighbours), "lr-neighbours")
-    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    pick = lambda side: draw(neighbours, F.col("ligand"), F.col("receptor"), F.col("draw"), side, seed) + 1
-    drawn = drawn.withColumn("lk", pick("ligand")).withColumn("rk", pick("receptor"))
-    own = small(near)
-    drawn = drawn.join(own.toDF("ligand", "l", "lk"), ["ligand", "lk"]).join(own.toDF("receptor", "r", "rk"), ["receptor", "rk"]).select("ligand", "receptor", "l", "r")
-    left, right = (small(specificity.select(F.col("feat").alias(c), F.col("grp").alias(name), F.col("score").alias(c + "s"))) for c, name in (("l", "sender"), ("r", "receiver")))
-    null = drawn.join(left, "l").join(right, "r").select("ligand", "receptor", "sender", "receiver", F.round(F.col("ls") * F.col("rs"), digits).alias("null_value"))
     keys = ["ligand", "receptor", "sender", "receiver"]
-    wanted = scored.select(*keys, F.round("score", digits).alias("value")).distinct()
-    over = null.join(wanted, keys).where("null_value >= value").groupBy(*keys).count()
+    over = _reached(scored, near, stored(specificity.select("feat", "grp", "score"), "lr-specificity"), neighbours, draws, seed, digits)
     tested = stored(scored.join(over, keys, "left").withColumn("p_value", (F.coalesce("count", F.lit(0)) + F.lit(1.0)) / F.lit(draws + 1.0)).drop("count"), "lr-tested")
     fits = F.lit(True) if threshold is None else F.col("score") > F.lit(threshold)
     rated = bh(tested.where(fits).withColumn("__p", F.round("p_value", 6)), "__p", ["sender", "receiver"], ["ligand", "receptor", "annotation"]).drop("__p").withColumnRenamed("fdr", "p_value_fdr")
