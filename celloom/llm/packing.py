@@ -64,6 +64,17 @@ def places(parts: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def distinct(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct ids of each document, rising, by one sort of all documents' ids."""
+    sizes = [len(x) for x in ids]
+    held = np.repeat(np.arange(len(ids), dtype=np.uint64) << np.uint64(16), sizes) | np.concatenate([np.zeros(0, np.uint16), *ids])
+    held.sort()
+    held = held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+    bounds = np.searchsorted(held, np.arange(len(ids) + 1, dtype=np.uint64) << np.uint64(16)).tolist()
+    terms = (held & np.uint64(0xFFFF)).astype(np.uint16)
+    return [terms[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def tokenized(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
     """(key, ids, place, kind): a row of kind "doc" a document with its 16-bit ids, END included, and its place among the others, and
     a row of kind "df" a task of its document frequencies, (term, count) pairs of 64 bits."""
@@ -74,9 +85,8 @@ def tokenized(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
         encoder, df, draws = Encoder.at(path), np.zeros(1 << 16, np.int64), _draws()
         for batch in batches:
             ids = [np.append(x, np.uint16(END)) for x in encoder.encode(list(batch.text))]
-            terms = [np.unique(x) for x in ids]
-            for x in terms:
-                df[x] += 1
+            terms = distinct(ids)
+            df += np.bincount(np.concatenate([np.zeros(0, np.uint16), *terms]), minlength=1 << 16)
             yield pd.DataFrame({"key": batch.key, "ids": [x.tobytes() for x in ids], "place": places(terms, draws), "kind": "doc"})
         terms = np.flatnonzero(df)
         yield pd.DataFrame({"key": [None], "ids": [np.stack([terms, df[terms]], 1).tobytes()], "place": [0], "kind": ["df"]})
@@ -186,11 +196,10 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, total: int, mean: float,
         if at < window:
             index.shrink(unused)
             found = index.neighbours(seed, unused)
-            for i in found[left[found] <= window - at]:
-                if left[i] <= window - at:
-                    yield put(int(i), window)
-                if at == window:
-                    break
+            fits = found
+            while at < window and len(fits := fits[left[fits] <= window - at]):
+                yield put(int(fits[0]), window)
+                fits = fits[1:]
         while at < window:
             rest = found[unused[found]]
             if not len(rest):

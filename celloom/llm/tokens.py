@@ -6,14 +6,15 @@ import json
 import re
 import sys
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
 from celloom.llm.words import in_chunks, mix
 
-#: Distinct pieces that a worker keeps encoded.
-KEPT = 150_000
+#: Slots for encoded pieces that a worker keeps, as a power of two, and how many ids of them; beyond these it starts anew.
+SLOTS, KEPT = 20, 4_000_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: The code points of the Unicode property White_Space.
@@ -51,7 +52,13 @@ class Encoder:
             self.kinds[c] = _LETTER if first == "L" else _NUMBER if first == "N" else _OTHER
         self.kinds[_SPACES] = _SPACE
         self.codes = mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.kept: dict[int, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty table of encoded pieces: by the leading bits of a piece's key its whole key, where its ids lie in the pool, and how many."""
+        self.held = np.zeros(1 << SLOTS, np.uint64)
+        self.place, self.count = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
+        self.pool, self.used = np.zeros(KEPT, np.uint16), 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as 16-bit numbers. The text of a special token is its id, and parts the text around it."""
@@ -62,7 +69,7 @@ class Encoder:
             between = ([[self.special[x]] for x in self.special_at.findall(t)] + [[]] for t in texts)
             return [np.concatenate([np.asarray(x, np.uint16) for pair in zip(whole[e - len(own) : e], gaps, strict=True) for x in pair]) for own, e, gaps in zip(parts, ends, between, strict=True)]
         out: list[np.ndarray] = []
-        for a, b in in_chunks(texts, 400_000):
+        for a, b in in_chunks(texts, 200_000):
             out += self._encode(texts[a:b])
         return out
 
@@ -81,28 +88,42 @@ class Encoder:
         first = np.cumsum(sizes) - sizes
         starts, ends = self._pieces(code, first)
         keys = self._keys(code, starts, ends)
-        which, distinct = pd.factorize(keys)
-        where = np.zeros(len(distinct), np.int64)
-        where[which[::-1]] = np.arange(len(which))[::-1]  # the first piece of each kind
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept, encoded, single = self.kept, [], self.encoding._encode_single_piece
-        for key, i in zip(distinct.tolist(), where.tolist(), strict=True):
-            ids = kept.get(key)
-            if ids is None:
-                ids = kept[key] = np.array(single(joined[starts[i] : ends[i]].encode("utf-8", "surrogatepass")), np.uint16).tobytes()
-            encoded.append(ids)
-        lengths = np.fromiter((len(x) // 2 for x in encoded), np.int64, len(encoded))
-        flat = np.frombuffer(b"".join(encoded), np.uint16)
-        begins = np.cumsum(lengths) - lengths
-        counts = lengths[which]
-        places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids = flat[np.repeat(begins[which], counts) + places]
+        begins, counts = self._encoded(joined, keys, starts, ends)
+        places = np.arange(counts.sum()) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+        ids = self.pool[places]
         bounds = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, np.append(first, len(code)))]
         for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True):
             out[i] = ids[a:b]
         return out
 
+    def _encoded(self, joined: str, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each piece's ids begin, and how many they are. Pieces that no slot holds are encoded, each distinct one once,
+        and take the slots of those they meet there; ids stay in the pool until it is full."""
+        if self.used > KEPT:
+            self.forget()
+        slots = (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+        begins, counts = self.place[slots], self.count[slots]
+        missed = np.flatnonzero((self.held[slots] != keys) | (counts == 0))
+        if len(missed):
+            which, distinct = pd.factorize(keys[missed])
+            first = np.zeros(len(distinct), np.int64)
+            first[which[::-1]] = missed[::-1]
+            single = self.encoding._core_bpe.encode_single_piece
+            made = [single(joined[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            new = np.fromiter(chain.from_iterable(made), np.uint16, sizes.sum())
+            if self.used + len(new) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], new, np.zeros(KEPT, np.uint16)])
+            self.pool[self.used : self.used + len(new)] = new
+            at = self.used + np.cumsum(sizes) - sizes
+            self.used += len(new)
+            begins[missed], counts[missed] = at[which], sizes[which]
+            slots = slots[first]
+            self.held[slots] = distinct
+            last = self.held[slots] == distinct  # of those with one slot
+            self.place[slots[last]], self.count[slots[last]] = at[last], sizes[last]
+        return begins, counts
+
     def _pieces(self, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces are runs of one kind; a run takes the blank before it along, and of more white space the last one stands apart."""
         kind = self.kinds[code]

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import oracle
 import pytest
 from conftest import SF
 
-from celloom.llm import decontamination, groups, html, ngram_join, packing, pii, quality, queries, sharding, spotsigs, urls, warc
+from celloom.llm import decontamination, groups, html, ngram_join, packing, pii, quality, queries, sharding, spotsigs, tokens, urls, warc
 
 EXTRA = ["lang string", "source string"]
 TEXTS = ["", None, "one", "a b c", "the quick brown fox jumps over the lazy dog and runs away", "x" * 200_000, "word " * 30_000]
@@ -239,6 +240,51 @@ def test_packing_is_exact_and_full(spark):
         assert [o for o, _ in own] == list(np.cumsum([0, *[n for _, n in own[:-1]]])) and sum(n for _, n in own) <= packing.WINDOW
 
 
+class CountedPieces:
+    """Stands before a tiktoken encoding and counts the pieces it is given."""
+
+    def __init__(self, real):
+        self.real, self.calls, self._core_bpe = real, 0, self
+
+    def encode_single_piece(self, piece):
+        self.calls += 1
+        return self.real._encode_single_piece(piece)
+
+    _encode_single_piece = encode_single_piece
+
+
+def test_pieces_are_encoded_once_also_in_large_vocabularies():
+    encoder = tokens.Encoder(queries.tokenizer())
+    encoder.encoding = counted = CountedPieces(encoder.encoding)
+    words = [f" {a}{b}{c}q{d}" for a in string.ascii_lowercase for b in string.ascii_lowercase for c in string.ascii_lowercase for d in "abcdefghijkl"]
+    texts = ["".join(words[i::100]) for i in range(100)]
+    once = encoder.encode(texts)
+    again = encoder.encode(texts)
+    assert all(a.tolist() == b.tolist() for a, b in zip(once, again, strict=True))
+    assert len(words) <= counted.calls < 1.3 * len(words)
+
+
+@pytest.mark.parametrize(("slots", "kept"), [(1, 1), (3, 50), (8, 1000)])
+def test_ids_are_exact_when_pieces_drive_each_other_out(monkeypatch, slots, kept):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "SLOTS", slots, raising=False)
+    monkeypatch.setattr(tokens, "KEPT", kept)
+    told, encoder, rng = Tokenizer.from_file(queries.tokenizer()), tokens.Encoder(queries.tokenizer()), random.Random(slots)
+    parts = [*"abcdeAZ09 ..,!\n\t  '", "\u00a0", "é", "日本", "\U0001f600", "'s", "\x00", "e\u0301", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    for i in range(0, len(texts), 50):
+        for got, text in zip(encoder.encode(texts[i : i + 50]), texts[i : i + 50], strict=True):
+            assert got.tolist() == told.encode(text, add_special_tokens=False).ids
+
+
+def test_distinct_ids_of_documents():
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 1 << 16, n).astype(np.uint16) for n in (0, 1, 5, 0, 3000)] + [np.full(4, 65535, np.uint16), np.zeros(2, np.uint16)]
+    assert all(a.tolist() == np.unique(b).tolist() for a, b in zip(packing.distinct(held), held, strict=True))
+    assert packing.distinct([]) == []
+
+
 def test_packing_scores_all_terms_of_a_seed():
     docs = [np.arange(1, 60), np.arange(200, 230), np.append(np.arange(300, 400), 59), np.append(np.arange(400, 440), np.arange(1, 59))]
     docs = [d.astype(np.uint16) for d in docs]
