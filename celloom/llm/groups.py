@@ -29,17 +29,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     middle of a star, has them in many tasks.
     """
     both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    now, seen = stored(both, "edges"), None
+    most = 2 * edges.count()  # of edges or nodes in any round
+    now, seen = stored(both, "edges", most), None
     while True:
         # large star: each node's larger neighbours move to its least neighbour
         larger = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         own = now.unionByName(larger).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        moved = hot_join(larger, stored(own, "edge-stars"), "u")
-        large = stored(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
+        moved = hot_join(larger, stored(own, "edge-stars", most), "u")
+        large = stored(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges", most)
         # small star: each node and its smaller neighbours move to the least of them
-        own = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edge-stars")
+        own = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edge-stars", most)
         moved = hot_join(large, own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own.select("u", F.col("m").alias("v")))
-        now = stored(moved.where("u != v").distinct(), "edges")
+        now = stored(moved.where("u != v").distinct(), "edges", most)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from celloom.llm.groups import components, hot_join
 from celloom.llm.words import in_chunks, mix, shingle_sets
-from celloom.session import ship, small, stored
+from celloom.session import FILE_ROWS, in_few, ship, small, stored
 
 THRESHOLD = 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.999
@@ -130,7 +130,8 @@ def _links(docs: DataFrame, key: str, text: str, threshold: float, recall: float
             yield batch.drop(columns="text").assign(n=counts, signatures=list(own))
 
     rows = stored(held.mapInPandas(sign, f"id {kind}, h binary, n long, signatures array<long>"), "ngram-signatures")
-    texts = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "ngram-texts")
+    texts = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "ngram-texts", rows.count())
+    known = texts.count()
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,7 +144,7 @@ def _links(docs: DataFrame, key: str, text: str, threshold: float, recall: float
 
     found, seen, counts = [], None, {}
     for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        buckets, links = _level(held, texts, shingle, seen, depth, threshold)
+        buckets, links = _level(held, texts, known, shingle, seen, depth, threshold)
         found.append(links.where("h is not null"))
         for row in links.where("h is null").groupBy("links").agg(F.sum("pairs").alias("n")).collect():
             counts[row["links"]] = counts.get(row["links"], 0) + row["n"]
@@ -155,21 +156,21 @@ def _links(docs: DataFrame, key: str, text: str, threshold: float, recall: float
         every = every.unionByName(more)
     linked = every.groupBy("h").agg(F.sum("links").alias("links"))
     roots = components(every, "h", "peer").withColumnRenamed("node", "h")
-    named = stored(texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left"), "ngram-roots")
+    named = stored(texts.select("h", "rep", "weight").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(linked, "h", "left"), "ngram-roots", known)
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("unknown"), "rep", F.col("h").alias("first"))).alias("s"), F.count("*").alias("n"))
-    least = stored(least.select("root", F.col("s.rep").alias("class_id"), F.col("s.first").alias("first"), "n"), "ngram-roots")
+    least = stored(least.select("root", F.col("s.rep").alias("class_id"), F.col("s.first").alias("first"), "n"), "ngram-roots", known)
     links = F.coalesce("links", F.lit(0)) + F.when(F.col("weight") > 1, F.col("weight") - 1).otherwise(0)
-    named = stored(hot_join(named, least, "root").select("h", F.col("weight").alias("n"), "rep", "class_id", (F.col("h") == F.col("first")).alias("keeper"), links.alias("n_links")), "ngram-classes")
+    named = stored(hot_join(named, least, "root").select("h", F.col("weight").alias("n"), "rep", "class_id", (F.col("h") == F.col("first")).alias("keeper"), links.alias("n_links")), "ngram-classes", known)
     return rows.select("id", "h"), named
 
 
-def _level(held: DataFrame, texts: DataFrame, shingle, seen: DataFrame | None, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _level(held: DataFrame, texts: DataFrame, known: int, shingle, seen: DataFrame | None, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The buckets (m, members) of prefixes of a depth that no longer prefix had, and the stored links of their pairs: (h, peer, links,
-    pairs), and with a null h for each bin of similarity (links) the number of pairs."""
+    pairs), and with a null h for each bin of similarity (links) the number of pairs. known is the number of texts."""
     spread = texts.where("n > 0").select("h", F.posexplode("signatures").alias("tree", "key")).withColumn("key", F.shiftrightunsigned("key", 8 * (DEPTH - depth)))
     buckets = spread.groupBy("tree", "key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("members")).where("m > 1")
     buckets = buckets.groupBy("m", "members").agg(F.min(F.struct("tree", "key")).alias("b")).select("b.*", "m", "members")
-    buckets = stored(buckets if seen is None else buckets.join(seen, ["m", "members"], "left_anti"), "ngram-buckets")
+    buckets = stored(buckets if seen is None else buckets.join(seen, ["m", "members"], "left_anti"), "ngram-buckets", known * TREES // 2)
     places = stored(spread.join(small(buckets.drop("members")), ["tree", "key"]), "ngram-places")
     units = (
         places.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
@@ -177,7 +178,7 @@ def _level(held: DataFrame, texts: DataFrame, shingle, seen: DataFrame | None, d
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("h", "tree", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
     )
-    wanted = small(stored(places.select("h").distinct(), "ngram-wanted"))
+    wanted = small(stored(places.select("h").distinct(), "ngram-wanted", known))
     sets = held.join(wanted, "h", "left_semi").select("h", "text").dropDuplicates(["h"]).mapInPandas(shingle, "h binary, shingles binary")
     facts = sets.join(texts.select("h", "weight", "signatures"), "h")
     # a bucket's units are dealt one after the other, so that no task gets two of a large one while another has none
@@ -213,7 +214,9 @@ def _level(held: DataFrame, texts: DataFrame, shingle, seen: DataFrame | None, d
         out.extend((None, None, int(k), int(pairs[k])) for k in np.flatnonzero(pairs))
         yield pd.DataFrame(out, columns=names).astype({"pairs": "Int64"})
 
-    return buckets.select("m", "members"), stored(dealt.mapInPandas(verify, "h binary, peer binary, links long, pairs long"), "ngram-links")
+    # compared by all tasks, written by as many as the rows ask for
+    links = dealt.mapInPandas(verify, "h binary, peer binary, links long, pairs long").repartition(max(1, min(parts, -(-places.count() // FILE_ROWS))))
+    return buckets.select("m", "members"), stored(links, "ngram-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -227,7 +230,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     class only if none of its ids is known. An empty table gives an empty one. Other columns are ignored.
     """
     rows, named = _links(docs, key, text, threshold, recall)
-    return hot_join(rows, named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links")
+    return in_few(hot_join(rows, named, "h").select(F.col("id").alias(key), F.col("rep").alias("copy_of"), "class_id", "n_links"), rows.count())
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -236,9 +239,10 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     Rows with equal ids and other texts are told apart by their texts; of rows with the same id and the same text one is kept.
     """
     rows, named = _links(docs, key, text, threshold, recall)
-    same = stored(rows.groupBy("id", "h").agg(F.count("*").alias("times")).withColumn("n", F.lit(1)), "ngram-rows")
+    most = rows.count()
+    same = stored(rows.groupBy("id", "h").agg(F.count("*").alias("times")).withColumn("n", F.lit(1)), "ngram-rows", most)
     judged = hot_join(same.drop("n"), named, "h").withColumn("stays", F.col("keeper") & F.col("id").eqNullSafe(F.col("rep")))
-    judged = stored(judged.select("id", "h", "times", "stays").where("not stays or times > 1"), "ngram-judged")
+    judged = stored(judged.select("id", "h", "times", "stays").where("not stays or times > 1"), "ngram-judged", most)
     marked = docs.withColumn("__h", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
     on = lambda t: marked[key].eqNullSafe(t["id"]) & (marked["__h"] == t["h"])
     gone, repeated = (small(judged.where(test).select("id", "h")) for test in ("not stays", "stays"))

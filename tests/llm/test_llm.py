@@ -8,12 +8,14 @@ import random
 import re
 import string
 import zlib
+from pathlib import Path
 
 import numpy as np
 import oracle
 import pytest
 from conftest import SF
 
+from celloom import session
 from celloom.llm import decontamination, groups, html, ngram_join, packing, pii, quality, queries, sharding, spotsigs, tokens, urls, warc
 
 EXTRA = ["lang string", "source string"]
@@ -101,6 +103,30 @@ def test_forest_prefixes_and_recall():
     assert ngram_join.recall_of({321: 1000}, 8, 0.8) < 0.999 < ngram_join.recall_of({321: 1000}, 6, 0.8)
 
 
+def test_small_tables_get_few_files(spark, monkeypatch):
+    """However many the shuffle partitions are: each file starts processes in an executor, which count its memory once more."""
+    paths, scratch = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    rng = random.Random(8)
+    base = [" ".join("w%d" % rng.randrange(5000) for _ in range(200)) for _ in range(30)]
+    held = docs(spark, base + [t + f" tail{k}" for k, t in enumerate(base)] + base[:9]).coalesce(2)
+    few = [sorted(f(held).drop("text").collect()) for f in (ngram_join.join, ngram_join.keep_first)]
+    own = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    paths.clear()
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        joined = ngram_join.join(held)
+        assert [sorted(f.drop("text").collect()) for f in (joined, ngram_join.keep_first(held))] == few
+        assert joined.rdd.getNumPartitions() == 1
+        files = [len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in paths]
+        assert len(files) > 20 and max(files) <= 2, files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_first_tells_rows_apart(spark):
     a, b = "one two three four five six", "nothing alike in these words here"
     kept = lambda texts, ids: sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs(spark, texts, ids)).collect()), key=repr)
