@@ -69,6 +69,11 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: s
     counts, and a pair comes once. Texts and items of any length are read whole. Empty tables give an empty one. Other columns are
     ignored.
     """
+    return _find(docs, items, threshold, key, text, item_key, item_text)[0]
+
+
+def _find(docs: DataFrame, items: DataFrame, threshold: float, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, int]:
+    """What find() returns, and the most pairs that it can have."""
     told = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("__item"), F.col(item_text).alias("w"))
     told = told.select("__item", shingles(F.col("w")).alias("item_shingles"), shingle_hashes(F.col("w")).alias("h")).where(F.size("h") > 0)
     told = stored(told.withColumn("__row", F.monotonically_increasing_id()), "benchmark-items")
@@ -79,7 +84,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: s
     hits = held.select("__doc", F.explode(shingle_hashes(F.col("__text"))).alias("h")).join(small(sketch), "h")
     pairs = hits.groupBy("__doc", "__row").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("__doc", "__row")
     pairs = stored(pairs, "benchmark-candidates")
-    docs_hit = small(stored(pairs.select("__doc").distinct(), "benchmark-candidate-documents"))
+    most = pairs.count()
+    docs_hit = small(stored(pairs.select("__doc").distinct(), "benchmark-candidate-documents", most))
     texts = held.join(docs_hit, "__doc", "left_semi").select("__doc", shingles(F.col("__text")).alias("doc_shingles"))
     wanted = told.select("__item", "__row", "item_shingles").join(pairs.groupBy("__row").agg(F.count("*").alias("n")), "__row")
     exact = (
@@ -88,10 +94,12 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: s
         .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
     )
     best = exact.groupBy("__doc", "__item").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_shared", "n_item")).alias("b"))
-    return best.select(F.col("__doc").alias(key), F.col("__item").alias(item_key), F.col("b")["n_shared"].alias("n_shared"), F.col("b")["n_item"].alias("n_item"), F.col("b")["c"].alias("containment"))
+    found = best.select(F.col("__doc").alias(key), F.col("__item").alias(item_key), F.col("b")["n_shared"].alias("n_shared"), F.col("b")["n_item"].alias("n_item"), F.col("b")["c"].alias("containment"))
+    return found, most
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose id has no pair in find(); rows with a null id stay."""
-    found = stored(find(docs, items, threshold, key, text).select(key).distinct(), "benchmark-contaminated")
+    pairs, most = _find(docs, items, threshold, key, text, "item_id", "text")
+    found = stored(pairs.select(key).distinct(), "benchmark-contaminated", most)
     return docs.join(small(found), key, "left_anti").select(docs.columns)

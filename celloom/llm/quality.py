@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     ship(spark)
-    told = small(stored(labels.select(key).where(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).distinct(), "quality-labelled"))
+    told = small(stored(labels.select(key).where(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1).distinct(), "quality-labelled", labels.count()))
     teach = stored(with_statistics(docs.join(told, key, "left_semi"), [key], text), "quality-statistics")
     model = spark.sparkContext.broadcast(train(teach, labels, key, label))
     schema = docs.schema

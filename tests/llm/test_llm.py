@@ -127,6 +127,28 @@ def test_small_tables_get_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_few_files_of_contaminated_and_labelled_documents(spark, monkeypatch):
+    paths, scratch = {}, session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: paths.setdefault(name, scratch(s, name)))
+    rng = random.Random(9)
+    passages = [" ".join("v%d" % rng.randrange(5000) for _ in range(30)) for _ in range(40)]
+    held = docs(spark, [" ".join("w%d" % rng.randrange(5000) for _ in range(50)) + (f" {p}" if k % 4 else "") for k, p in enumerate(passages)]).coalesce(2)
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int").coalesce(2)
+    own = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert {r.doc_id for r in decontamination.drop_contaminated(held, items).collect()} == set(range(0, 40, 4))
+        quality.keep_good(held, labels).count()
+        names = ["benchmark-candidate-documents", "benchmark-contaminated", "quality-labelled"]
+        assert [len(list(Path(paths[n].removeprefix("file://")).glob("part-*"))) for n in names] == [1, 1, 1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_first_tells_rows_apart(spark):
     a, b = "one two three four five six", "nothing alike in these words here"
     kept = lambda texts, ids: sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs(spark, texts, ids)).collect()), key=repr)
