@@ -130,7 +130,8 @@ def _links(docs: DataFrame, key: str, text: str, threshold: float, recall: float
             yield batch.drop(columns="text").assign(n=counts, signatures=list(own))
 
     rows = stored(held.mapInPandas(sign, f"id {kind}, h binary, n long, signatures array<long>"), "ngram-signatures")
-    texts = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "ngram-texts", rows.count())
+    texts = rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("signatures").alias("signatures"))
+    texts = stored(texts, "ngram-texts", rows.count() * TREES // 8)  # eight numbers count as a row
     known = texts.count()
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
