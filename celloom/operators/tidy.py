@@ -84,7 +84,8 @@ def resolve_sets(sets: DataFrame, features: DataFrame, names: list[str]) -> Data
     """(set, feat, weight): the features that a set's names mean under any of the name columns; of a feature that several names of a
     set mean, the greatest weight. Names that mean nothing are left out."""
     alias = reduce(DataFrame.unionByName, [features.select("feat", F.col(n).cast("string").alias("name")) for n in names]).dropna().distinct()
-    return sets.join(alias, "name").groupBy("set", "feat").agg(F.max("weight").alias("weight"))
+    own = sets.groupBy("set", "name").agg(F.max("weight").alias("weight"))  # else a common name gives rows times features
+    return own.join(alias, "name").groupBy("set", "feat").agg(F.max("weight").alias("weight"))
 
 
 def recovery(sets: DataFrame, features: DataFrame, least: float = 0.2, share: float = 0.5) -> DataFrame:
