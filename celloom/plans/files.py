@@ -39,7 +39,7 @@ def read_bed(spark, sf_dir):
     held = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("\t", F.concat(F.lit("chr"), F.col("s_suppkey") % 5), F.col("s_suppkey") * 997, F.col("s_suppkey") * 997 + F.col("s_suppkey") % 3 * 400).alias("value"))
     lines = held.unionByName(spark.createDataFrame([(-2, "# peaks"), (-1, "track name=x"), (0, "chr1\t5")], "s_suppkey long, value string"))
     path = scratch_path(spark, "bed")
-    lines.coalesce(1).sortWithinPartitions("s_suppkey").select("value").write.text(path)
+    lines.orderBy("s_suppkey").select("value").write.text(path)
     return tables.read_bed(spark, path)
 
 
@@ -55,7 +55,7 @@ def read_elements(spark, sf_dir):
 @query("SELECT p_brand AS cell_type, list(p_name ORDER BY p_partkey) AS genes FROM part GROUP BY 1")
 def read_markers(spark, sf_dir):
     path = scratch_path(spark, "markers")
-    held = table(spark, sf_dir, "part").coalesce(1).sortWithinPartitions("p_partkey")
+    held = table(spark, sf_dir, "part").orderBy("p_partkey")
     held.select(F.col("p_brand").alias("cell_type"), F.col("p_name").alias("gene")).write.json(f"{path}.json")
     return tables.read_markers(spark, f"{path}.json")
 

@@ -12,6 +12,11 @@ from celloom.session import small, stored
 MODALITIES = {"rna": ["Gene Expression"], "atac": ["Peaks"], "adt": ["Antibody Capture"], "hto": ["Antibody Capture", "Multiplexing Capture"], "crispr": ["CRISPR Guide Capture"]}
 
 
+def _place() -> list[Column]:
+    """Columns that put lines in their order: files of a folder by name, blocks within them, and lines within the block."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+
+
 def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
     """The k-th repeat of a name gets the suffix -k; the first stays."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
@@ -20,7 +25,7 @@ def make_unique(names: DataFrame, name: str, order: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines of a text file with their numbers from 0, counted within the blocks that tasks read; only one count a block is summed in one place."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", *_place())
     held = stored(lines, "lines")
     sizes = held.groupBy("file", "block").agg(F.count("*").alias("n"))
     begins = sizes.select("file", "block", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("begin"))
@@ -39,10 +44,9 @@ def read_mtx(spark: SparkSession, matrix: str, barcodes: str, features: str, mod
     if modality not in (None, "all"):
         feats = feats.where(F.col("type").isin(MODALITIES.get(modality, [modality])))
     cells = numbered_lines(spark, barcodes).select(F.col("line").cast("long").alias("cell"), F.concat(F.lit(prefix), "value").alias("barcode"))
-    body = spark.read.text(matrix).where(~F.col("value").startswith("%"))
-    # the size line is the first that is not a comment: of a file's lines the one at the least place
+    # the size line is the first that is not a comment: of all lines the one at the least place
+    body = spark.read.text(matrix).select("value", F.struct(*_place()).alias("__at")).where(~F.col("value").startswith("%"))
     numbers = F.split(F.trim("value"), r"\s+")
-    body = body.withColumn("__at", F.monotonically_increasing_id())
     first = body.agg(F.min("__at").alias("__first"))
     rows = body.crossJoin(F.broadcast(first)).where("__at > __first").select((numbers[0].cast("long") - 1).alias("feat"), (numbers[1].cast("long") - 1).alias("cell"), numbers[2].cast("double").alias("x"))
     return rows.join(feats.select("feat"), "feat", "left_semi").select("cell", "feat", "x"), cells, feats
@@ -82,13 +86,16 @@ def read_samples(spark: SparkSession, paths: list[str], modality: str | None = "
 
 
 def write_mtx(entries: DataFrame, cells: DataFrame, features: DataFrame, folder: str) -> None:
-    """A folder that read_10x() reads: entries(cell, feat, x) with places from 0, cells(cell, barcode), features(feat, id, symbol, type)."""
+    """A folder that read_10x() reads: entries(cell, feat, x) with places from 0, cells(cell, barcode), features(feat, id, symbol, type).
+
+    Each table is a folder of files whose names are in the order of their lines; the matrix begins with the file of its head.
+    """
     sizes = [df.count() for df in (features, cells, entries)]
-    body = entries.select(F.concat_ws(" ", F.col("feat") + 1, F.col("cell") + 1, F.col("x")).alias("value"), F.lit(1).alias("at"))
-    head = entries.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general", -1), (" ".join(map(str, sizes)), 0)], "value string, at int")
-    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(f"{folder}/matrix.mtx")
-    cells.coalesce(1).sortWithinPartitions("cell").select("barcode").write.mode("overwrite").text(f"{folder}/barcodes.tsv")
-    features.coalesce(1).sortWithinPartitions("feat").select(F.concat_ws("\t", "id", "symbol", "type")).write.mode("overwrite").text(f"{folder}/features.tsv")
+    body = entries.select(F.concat_ws(" ", F.col("feat") + 1, F.col("cell") + 1, F.col("x")).alias("value"))
+    head = entries.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general\n" + " ".join(map(str, sizes)),)], "value string")
+    head.coalesce(1).unionByName(body).write.mode("overwrite").text(f"{folder}/matrix.mtx")
+    cells.orderBy("cell").select("barcode").write.mode("overwrite").text(f"{folder}/barcodes.tsv")
+    features.orderBy("feat").select(F.concat_ws("\t", "id", "symbol", "type")).write.mode("overwrite").text(f"{folder}/features.tsv")
 
 
 def merge_samples(samples: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +129,7 @@ def read_regulatory_elements(spark: SparkSession, path: str, classes: list[str])
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """(cell_type, genes): the genes of each cell type in the order of a CSV or JSON table."""
     held = spark.read.json(path) if path.endswith(".json") else spark.read.option("header", True).csv(path)
-    placed = held.withColumn("__at", F.monotonically_increasing_id())
+    placed = held.select("cell_type", "gene", F.struct(*_place()).alias("__at"))
     return placed.groupBy("cell_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "gene"))), lambda s: s["gene"]).alias("genes"))
 
 
