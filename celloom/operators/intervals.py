@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from celloom.session import stored
+
 
 def overlaps(fragments: DataFrame, peaks: DataFrame, width: int = 1000) -> DataFrame:
     """Pairs of fragments(chrom, start, end, ...) and peaks(chrom, p_start, p_end, peak) that overlap: p_start < end and p_end > start.
@@ -35,9 +37,16 @@ def quantify(fragments: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def encode_blocks(fragments: DataFrame, rows: int = 1000) -> DataFrame:
     """(chrom, block, k, delta, length, cell): fragments in the order of their starts, in blocks of so many rows of a chromosome; the
-    first start of a block stands whole, the others as distances from the one before. Empty chromosomes have no block."""
-    order = Window.partitionBy("chrom").orderBy("start", "end", "cell")
-    placed = fragments.withColumn("__at", F.row_number().over(order) - 1)
+    first start of a block stands whole, the others as distances from the one before. Empty chromosomes have no block.
+
+    A task sees a range of starts, not a chromosome; only one count a range is summed in one place.
+    """
+    held = stored(fragments.select("chrom", "start", "end", "cell").repartitionByRange("chrom", "start", "end", "cell").withColumn("__part", F.spark_partition_id()), "fragments")
+    sizes = held.groupBy(F.col("chrom").alias("__c"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    begins = sizes.select("__c", "__p", (F.sum("__n").over(Window.partitionBy("__c").orderBy("__p")) - F.col("__n")).alias("__begin"))
+    placed = held.join(F.broadcast(begins), F.col("chrom").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p")))
+    order = Window.partitionBy("chrom", "__part").orderBy("start", "end", "cell")
+    placed = placed.withColumn("__at", F.col("__begin") + F.row_number().over(order) - 1)
     placed = placed.select("chrom", F.floor(F.col("__at") / rows).alias("block"), (F.col("__at") % rows).cast("int").alias("k"), "start", "end", "cell")
     inside = Window.partitionBy("chrom", "block").orderBy("k")
     delta = F.col("start") - F.coalesce(F.lag("start").over(inside), F.lit(0))
