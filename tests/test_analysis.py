@@ -176,3 +176,15 @@ def test_ligand_receptor_p_of_all_draws(spark, monkeypatch):
         over = sum(round(score[x, sender] * score[y, receiver], 12) >= value for x, y in drawn)
         assert p == round((over + 1) / 1001, 6)
     assert found[1, "A", "B"] < 1 / 21
+
+
+def test_rounds_over_arrays_equal_rounds_over_tables(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    edges = [(int(a) * 7, int(b) * 7, float(w)) for a, b, w in zip(draw.integers(0, 60, 300), draw.integers(0, 60, 300), draw.random(300), strict=True)]
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    monkeypatch.setattr(graphs, "SMALL", 0)
+    found = {}
+    for most in (graphs.LABELS, 0):
+        monkeypatch.setattr(graphs, "LABELS", most)
+        found[most > 0] = {r.node: r.community for r in graphs.communities(df, rounds=3, levels=2).collect()}
+    assert found[True] == found[False] and len(set(found[True].values())) > 1
