@@ -96,7 +96,7 @@ def variable_features(spark, sf_dir):
 @query()
 def umap_layout(spark, sf_dir):
     held = model.points(spark, sf_dir)
-    return rounded(layout.umap(stored(neighbors.fuzzy_graph(neighbors.knn(held, held, 14), 15), "graph"), held), "x", "y")
+    return rounded(layout.lay_out(stored(neighbors.fuzzy_graph(neighbors.knn(held, held, 14), 15), "graph"), held), "x", "y")
 
 
 @query()
